@@ -39,7 +39,7 @@ TREES = 96
 BITS = 16
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
-PROBE = 0.45
+PROBE = 0.35
 
 
 @lru_cache(maxsize=2)

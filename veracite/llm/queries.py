@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lines, packing, pieces, quality, simhash, substrings, token_counts, toxicity
+from . import ann, lines, packing, pieces, quality, simhash, spotsigs, substrings, token_counts, toxicity
 from .common import fold_of, table
 
 
@@ -49,6 +49,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_pieces": op7_pieces,
+    "op8_spotsigs": op8_spotsigs,
     "op9_token_counts": op9_token_counts,
     "op10_lines": op10_lines,
 }

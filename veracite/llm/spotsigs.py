@@ -2,7 +2,8 @@
 
 A signature is an anchor (a very common word) with the chain of the next
 ``CHAIN`` content words after it; anchors themselves are never part of a chain.
-A document's fingerprint is the set of its signatures' 32-bit hashes, written as
+In a text with fewer than ``FEW`` such signatures every word counts as an anchor, so
+that lists and very short texts have fingerprints too. A document's fingerprint is the set of its signatures' 32-bit hashes, written as
 sorted hexadecimal numbers. Likeness is the Jaccard coefficient of two sets.
 
 ``near_duplicates`` compares sets by length partitions: with likeness at least t
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 CHAIN = 2
+FEW = 8
 BUCKET_ROWS = 1500
 MOST_BUCKETS = 4096
 
@@ -51,28 +53,33 @@ def _common(word: Column) -> Column:
 
 
 def _spots(words: Column) -> Column:
-    """The content words, each with the word before it where that is an anchor."""
+    """The content words, each with the word before it (null at the start) and whether that is an anchor."""
 
     def spot(w: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(words, i - 1))
-        return F.when(~_common(w) & (w != ""), F.struct(w.alias("w"), F.when(_common(before), before).alias("anchor")))
+        return F.when(~_common(w) & (w != ""), F.struct(w.alias("w"), before.alias("before"), F.coalesce(_common(before), F.lit(False)).alias("anchored")))
 
     return F.filter(F.transform(words, spot), lambda s: s.isNotNull())
 
 
-def _chains(content: Column) -> Column:
+def _chains(content: Column, anchored: bool) -> Column:
     def chain(s: Column, i: Column) -> Column:
-        hashed = F.xxhash64(s["anchor"], *[F.get(content, i + k)["w"] for k in range(CHAIN)])
-        whole = s["anchor"].isNotNull() & (i + (CHAIN - 1) < F.size(content))
-        return F.when(whole, hashed.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+        hashed = F.xxhash64(s["before"], *[F.get(content, i + k)["w"] for k in range(CHAIN)])
+        whole = i + (CHAIN - 1) < F.size(content)
+        return F.when(s["anchored"] & whole if anchored else whole, hashed.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
 
     return F.array_sort(F.array_distinct(F.filter(F.transform(content, chain), lambda c: c.isNotNull())))
 
 
+def _chosen(content: Column) -> Column:
+    """The anchored chains; all chains, which hold the anchored ones, where those are few."""
+    return let(_chains(content, True), lambda found: F.when(F.size(found) >= FEW, found).otherwise(_chains(content, False)))
+
+
 def signatures(text: Column) -> Column:
     """Sorted set of signature hashes (ints) of a text column; never null or empty."""
     own = F.xxhash64(F.lit("whole"), text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
-    found = let(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda words: let(_spots(words), _chains))
+    found = let(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda words: let(_spots(words), _chosen))
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(own)))
 
 

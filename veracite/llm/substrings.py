@@ -298,13 +298,18 @@ def candidates(joined: DataFrame, shared, window: int) -> DataFrame:
                 [pa.array(keys, pa.int64()), _long_lists(hashes, pa.int64()), _long_lists(starts, pa.int32())], names=["row", "hash", "start"]
             )
 
-    # the id is not needed here; with it, the shuffle of the texts is the same as the last step's and is reused
-    return joined.select("row", "id", "text", "anchors").mapInArrow(run, "row long, hash array<long>, start array<int>")
+    # all columns stay, needed here or not, so that the shuffle of the texts is the last step's own and is reused
+    return joined.mapInArrow(run, "row long, hash array<long>, start array<int>")
 
 
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, id_type: str = "long", with_text: bool = False) -> DataFrame:
-    """One row (id, n_words, n_removed, kept_sha256) per input row; ``with_text`` adds the kept words as ``text``."""
-    rows = documents.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, id_type: str = "long", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row (id, n_words, n_removed, kept_sha256) per input row.
+
+    ``with_text`` adds ``text``: the text itself if it lost nothing, else its kept
+    words joined by spaces. The columns named in ``carry`` pass through.
+    """
+    extra = {f"_c{k}": c for k, c in enumerate(carry)}
+    rows = documents.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for k, c in extra.items()])
     found = checkpointed(text_anchors(rows, window))
     single = found.select("row", F.explode("anchors").alias("anchor"))
     counts = single.groupBy("anchor").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1")
@@ -323,7 +328,8 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = pending.where("row is not null").join(twice, "hash", "left_semi")
     starts = counted.groupBy("row").agg(F.collect_set("start").alias("starts"))
 
-    schema = f"{id_col} {id_type}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    kinds = dict(rows.dtypes)
+    schema = f"{id_col} {id_type}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", {k} {kinds[k]}" for k in extra)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference, frequent = shared.value
@@ -350,8 +356,12 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if with_text:
                 arrays.append(pa.array(cols["text"], pa.string()))
                 names.append("text")
+            for k in extra:
+                arrays.append(batch.column(batch.schema.get_field_index(k)))
+                names.append(k)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     none = lambda name, kind: F.coalesce(name, F.array().cast(f"array<{kind}>")).alias(name)
     whole = text.join(repeated, "row", "left").join(starts, "row", "left")
-    return whole.select("row", "id", "text", none("starts", "int"), none("anchors", "long")).mapInArrow(finish, schema)
+    whole = whole.select("row", "id", "text", none("starts", "int"), none("anchors", "long"), *extra)
+    return whole.mapInArrow(finish, schema).withColumnsRenamed(extra)

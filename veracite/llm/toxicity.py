@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts, training_rows
@@ -280,6 +281,18 @@ def score(documents: DataFrame, net: Network | None, id_col: str = "doc_id", tex
     return map_texts(documents, id_col, text_col, run, f"{id_col} {id_type}, score double, predicted int")
 
 
+def keep_clean(documents: DataFrame, net: Network | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns, in one pass and without a shuffle."""
+    shared = documents.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array(score_texts(shared.value, texts) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def score_texts(net: Network | None, texts: list[str]) -> np.ndarray:
     if net is None:
         return np.zeros(len(texts))

@@ -1,27 +1,28 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is the text between newlines; its words are the lower-cased runs without
-ASCII white space. Two lines are duplicates if their word sequences are equal or,
-for lines of at least ``min_words`` words, differ by one inserted, deleted or
-replaced word. A line goes if an equal or near line stands earlier, in the order
-(id, line number); whether that earlier line itself goes does not matter. Blank
-lines stay.
+A line is the text between newlines; its words are the runs without ASCII white
+space. Two lines are duplicates if their word sequences are equal or, for lines
+of at least ``min_words`` words, differ by one inserted, deleted or replaced
+word. A line goes if an equal or near line stands earlier, in the order (id, line
+number); whether that earlier line itself goes does not matter. Blank lines stay.
 
 Each distinct line emits the hash of its words and of every variant with one
 word deleted. Equal variants meet in an aggregate that keeps the earliest line
 for each (variant, deleted place): lines that share a variant at one place, or of
 which one is the variant itself, are within one edit, so the minimum stands for
 all pairs and no group is expanded. The pair of line and earliest line is then
-verified by comparing their words. Only distinct lines that share their leading
-or trailing words with another one emit variants: one edit leaves the first or
-the last half of a line unchanged. A half is cut at a power of two of words, for
-the line's length and the next one, so that lines of neighbouring lengths agree.
+verified by comparing their words. Only lines that share their leading or
+trailing half with a different line emit variants: one edit leaves one of the
+halves unchanged. Halves are cut for a line's length and for the next one, so
+that lines of neighbouring lengths agree.
+
+The texts are split into words once; what is kept of a line is its hashes.
 
 Cases: null texts stay null and have no lines; empty texts have one blank line;
-rows with one id count as one document: equal lines at the same place of it
-stand and go together; a null id comes before all others; an empty table gives an
-empty result; extra columns of the input pass through ``dedup`` unless they
-bear the names ``n_lines`` or ``n_removed``, which are replaced.
+a null id comes before all others; of rows with one id each is compared with the
+rows of smaller ids and with itself, near lines also with each other; an empty
+table gives an empty result; extra columns of the input pass through ``dedup``
+unless they bear the names ``n_lines`` or ``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,96 +34,113 @@ from .common import checkpointed
 
 MIN_WORDS = 5
 SALT = 7
-HALVES = 24  # halves up to 2**24 words
 
 
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), "[ \\t\\x0B\\f\\r]+"), "")
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col)
 
 
-def _half(n: Column) -> Column:
-    """The largest power of two that is at most (n - 1) / 2, at least 1."""
-    return F.least(F.lit(1 << HALVES), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest((n - 1) / 2, F.lit(1.0)))))).cast("int")
+def single_spaced(text: Column) -> Column:
+    """Runs of white space other than newlines become one space; most texts pass untouched."""
+    return F.when(text.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(text)
+
+
+def line_words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _halves(words: Column, n: Column, min_words: int) -> Column:
-    """Hashes of the leading and trailing halves, at the cuts for n and n + 1 words."""
-    cuts = [_half(n), _half(n + 1)]
+    """Hashes of the leading and trailing halves, as cut for n and for n + 1 words."""
+    cuts = [F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")]
     ends = [F.xxhash64(F.lit(side), h, F.slice(words, F.lit(1) if side == 0 else n - h + 1, h)) for side in (0, 1) for h in cuts]
-    return F.when(n >= min_words - 1, F.array_distinct(F.array(*ends))).otherwise(F.array().cast("array<long>"))
+    return F.when(n >= max(min_words - 1, 3), F.array_distinct(F.array(*ends))).otherwise(F.array().cast("array<long>"))
+
+
+def hashed_lines(documents: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(row, doc, line_no, h1, h2, halves) of the lines that hold words."""
+    texts = documents.where(F.col(text_col).isNotNull()).select(
+        row_key(id_col, text_col).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.split(single_spaced(F.col(text_col)), "\n").alias("lines")
+    )
+    words = texts.select("row", "doc", F.posexplode("lines").alias("line_no", "line")).select("row", "doc", "line_no", line_words(F.col("line")).alias("words"))
+    n = F.size("words")
+    return words.where(n > 0).select(
+        "row", "doc", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(SALT), "words").alias("h2"), _halves(F.col("words"), n, min_words).alias("halves")
+    )
+
+
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """(row, line_no) of the lines that stand in a row of a smaller id too, or earlier in their own row."""
+    several = lines.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = lines.select("row", "doc", "line_no", "h1", "h2").join(several, ["h1", "h2"])
+    later = met.where("doc > least").select("row", "line_no")
+    own = met.where("doc = least").groupBy("row", "h1", "h2").agg(F.array_sort(F.collect_set("line_no")).alias("at")).where("size(at) > 1")
+    return later.unionByName(own.select("row", F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("line_no")))
+
 
+def candidates(lines: DataFrame) -> DataFrame:
+    """(doc, line_no, row) of the first place of each distinct line that shares a half with a different line."""
+    halves = lines.select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
+    wanted = halves.join(shared, "half", "left_semi").select("h1").distinct()
+    places = lines.select("h1", "h2", "doc", "line_no", "row").join(wanted, "h1", "left_semi")
+    return places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "row")).alias("at")).select("at.*")
 
-def split_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, words) of the lines that hold words."""
-    lines = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return lines.select("doc", "line_no", line_words("line").alias("words")).where(F.size("words") > 0)
 
+def near_lines(documents: DataFrame, places: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(h1, h2) of the distinct lines at ``places`` that have an earlier near line."""
+    wanted = places.groupBy("row", "doc").agg(F.collect_set("line_no").alias("line_nos"))
+    source = documents.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    chosen = source.join(wanted, "row").select("row", "doc", "line_nos", F.split(single_spaced(F.col("text")), "\n").alias("lines"))
+    words = chosen.select("row", "doc", F.explode("line_nos").alias("line_no"), "lines").select("row", "doc", "line_no", line_words(F.get("lines", F.col("line_no"))).alias("words"))
+    texts = checkpointed(words.where(F.size("words") >= min_words).select(F.struct("doc", "line_no", "row").alias("at"), "words").distinct())
 
-def _keyed(documents: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     n = F.size("words")
-    return split_lines(documents, id_col, text_col).select(
-        "doc", "line_no", n.alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(SALT), "words").alias("h2"), _halves(F.col("words"), n, min_words).alias("halves")
-    )
+    variants = texts.select("at", "words", F.explode(F.sequence(F.lit(0), n)).alias("i"))  # 0: the line itself
+    before, after = F.slice("words", F.lit(1), F.greatest(F.col("i") - 1, F.lit(0))), F.slice("words", F.col("i") + 1, n)
+    keys = variants.select("at", "i", F.xxhash64(before, after).alias("v"), (n - (F.col("i") > 0).cast("int")).alias("m"))
+    # a replaced word: the same variant at the same place; an inserted or deleted word: one line is the other's variant
+    leads = keys.groupBy("v", "m", "i").agg(F.min("at").alias("lead"))
+    whole = leads.where("i = 0").select("v", "m", F.col("lead").alias("whole"))
+    shorter = leads.where("i > 0").groupBy("v", "m").agg(F.min(F.struct("lead", "i")).alias("s"))
+    pair = lambda lead, i: F.struct(lead.alias("lead"), i.cast("int").alias("lead_i"))
+    replaced = leads.where("i > 0").join(whole, ["v", "m"], "left").select("v", "m", "i", F.array(pair(F.col("lead"), F.col("i")), pair(F.col("whole"), F.lit(0))).alias("leads"))
+    deleted = whole.join(shorter, ["v", "m"]).select("v", "m", F.lit(0).alias("i"), F.array(pair(F.col("s.lead"), F.col("s.i"))).alias("leads"))
+    met = keys.join(replaced.unionByName(deleted), ["v", "m", "i"]).select("at", "i", F.explode("leads").alias("l")).select("at", "i", "l.lead", "l.lead_i")
+    pairs = met.where("lead < at").distinct()
+    pairs = pairs.join(texts.select("at", F.col("words").alias("a")), "at").join(texts.select(F.col("at").alias("lead"), F.col("words").alias("b")), "lead")
+
+    def without(w: str, i: str) -> Column:
+        return F.when(F.col(i) == 0, F.col(w)).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(F.col(i) - 1, F.lit(0))), F.slice(w, F.col(i) + 1, F.size(w))))
+
+    true_pairs = pairs.where(without("a", "i") == without("b", "lead_i"))
+    return true_pairs.select(F.xxhash64("a").alias("h1"), F.xxhash64(F.lit(SALT), "a").alias("h2")).distinct()
 
 
 def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, line_no, h1) of every line that has an earlier equal or near line."""
-    keyed = _keyed(documents, id_col, text_col, min_words)
-    distinct = checkpointed(
-        keyed.groupBy("h1", "h2").agg(
-            F.min(F.struct("doc", "line_no")).alias("first"), F.max(F.struct("doc", "line_no")).alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves")
-        )
-    )
-    halves = distinct.where(F.size("halves") > 0).select("h1", "h2", "first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("m")).where("m > 1").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
-    near = near_lines(documents, wanted, id_col, text_col, min_words)
-    # every occurrence of a near line goes; of the other repeated lines, all but the first
-    repeated = distinct.where("not (first <=> last)").select("h1", "h2", "first")
-    marks = repeated.join(near, ["h1", "h2"], "full_outer").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = keyed.select("doc", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
-    return found.where("near or not (first <=> struct(doc, line_no))").select("doc", "line_no", "h1")
-
-
-def near_lines(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(h1, h2, near) of the wanted distinct lines that have an earlier near line; ``wanted`` has (h1, h2, first)."""
-    places = wanted.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_set("first.line_no").alias("line_nos"))
-    source = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(text_col, "\n").alias("lines"))
-    chosen = source.join(places, source["id"].eqNullSafe(places["doc"])).select("doc", F.explode("line_nos").alias("line_no"), "lines")
-    words = chosen.where("line_no < size(lines)").select("doc", "line_no", line_words(F.element_at("lines", F.col("line_no") + 1)).alias("words"))
-    texts = words.where(F.size("words") >= min_words - 1).select(F.struct("doc", "line_no").alias("at"), "words", F.size("words").alias("n"))
-    texts = checkpointed(texts)
-    place = F.explode(F.sequence(F.lit(0), F.col("n")))  # 0: the line itself
-    variants = texts.select("at", "words", "n", place.alias("i")).where((F.col("n") >= min_words) | (F.col("i") == 0))
-    before = F.slice("words", F.lit(1), F.greatest(F.col("i") - 1, F.lit(0)))
-    after = F.slice("words", F.col("i") + 1, F.col("n"))
-    keys = variants.select("at", "i", F.xxhash64(before, after).alias("v"), F.when(F.col("i") == 0, F.col("n")).otherwise(F.col("n") - 1).alias("m"))
-    # replaced word: same variant, same place. inserted or deleted word: one is the other's variant.
-    replaced = keys.where("i > 0").groupBy("v", "m", "i").agg(F.min("at").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    whole = keys.where("i = 0").groupBy("v", "m").agg(F.min("at").alias("lead"))
-    shorter = keys.where("i > 0").groupBy("v", "m").agg(F.min("at").alias("lead"), F.min_by("i", "at").alias("lead_i"))
-    deleted = keys.where("i > 0")
-    pairs = (
-        deleted.join(replaced, ["v", "m", "i"]).where("lead < at").select("at", "lead", "i", F.col("i").alias("lead_i"))
-        .unionByName(deleted.join(whole, ["v", "m"]).where("lead < at").select("at", "lead", "i", F.lit(0).alias("lead_i")))
-        .unionByName(keys.where("i = 0").join(shorter, ["v", "m"]).where("lead < at").select("at", "lead", "i", "lead_i"))
-        .distinct()
-    )
-    pairs = pairs.join(texts.select("at", F.col("words").alias("a")), "at").join(texts.select(F.col("at").alias("lead"), F.col("words").alias("b")), "lead")
-    without = lambda w, i: F.when(F.col(i) == 0, F.col(w)).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(F.col(i) - 1, F.lit(0))), F.slice(w, F.col(i) + 1, F.size(w))))
-    true_pairs = pairs.where((without("a", "i") == without("b", "lead_i")) & (F.size("a") >= min_words) & (F.size("b") >= min_words))
-    return true_pairs.select(F.xxhash64("a").alias("h1"), F.xxhash64(F.lit(SALT), "a").alias("h2")).distinct().withColumn("near", F.lit(True))
+    """(row, gone array) of the rows that lose lines: the rising line numbers, from 0; ``row`` is ``row_key``."""
+    lines = checkpointed(hashed_lines(documents, id_col, text_col, min_words))
+    near = near_lines(documents, candidates(lines), id_col, text_col, min_words)
+    altered = lines.select("row", "line_no", "h1", "h2").join(near, ["h1", "h2"], "left_semi").select("row", "line_no")
+    return repeated_lines(lines).unionByName(altered).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+
+
+def line_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row (id, n_lines, n_removed, removed_lines) per input row; line numbers count from 0."""
+    gone = removals(documents, id_col, text_col, min_words)
+    rows = documents.select(F.col(id_col), row_key(id_col, text_col).alias("row"), _line_total(F.col(text_col)).alias("n_lines"))
+    none = F.array().cast("array<int>")
+    return rows.join(gone, "row", "left").select(id_col, "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce("gone", none).alias("removed_lines"))
+
+
+def _line_total(text: Column) -> Column:
+    return F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their duplicate lines removed, and columns n_lines, n_removed."""
-    gone = removals(documents, id_col, text_col, min_words)
-    gone = gone.groupBy("doc").agg(F.collect_set(F.xxhash64("line_no", "h1")).alias("_gone"))
-    docs = documents.drop("n_lines", "n_removed")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["doc"]), "left").drop("doc")
-    lines = F.split(text_col, "\n")
-    keep = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), F.xxhash64(i, F.xxhash64(line_words(line)))))
-    marked = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(keep)
-    out = marked.withColumn("_kept", kept).withColumn("n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")))
-    return out.withColumn(text_col, F.array_join("_kept", "\n")).drop("_kept", "_gone")
+    gone = removals(documents, id_col, text_col, min_words).withColumnsRenamed({"row": "_row", "gone": "_gone"})
+    docs = documents.drop("n_lines", "n_removed").withColumn("_row", row_key(id_col, text_col))
+    joined = docs.join(gone, "_row", "left")
+    keep = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
+    counted = joined.withColumn("n_lines", _line_total(F.col(text_col))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
+    return counted.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))).drop("_row", "_gone")

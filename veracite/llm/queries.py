@@ -58,9 +58,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(table(spark, sf_dir, "documents"))
-    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), kept.alias("kept_sha256"))
+    out = lines.line_counts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,7 +4,8 @@ Words are the runs without ASCII white space. A window is ``window`` consecutive
 words of one document. A word is removed if a window that covers it starts at
 any other place too, in the same document or another.
 
-Plan. (1) Each text yields its anchors: the minimal hash of ``ANCHOR`` consecutive
+Plan. Texts that stand twice lose every window; one row of each such text goes on
+in the name of all. (1) Each text yields its anchors: the minimal hash of ``ANCHOR`` consecutive
 words in each window. Equal windows have equal anchors, so only windows whose
 anchor occurs twice can repeat. (2) The most frequent anchors, at most
 ``HOT_ANCHORS``, give the reference shard: their passages in one document, of a
@@ -41,10 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, sliced
 
 WINDOW = 35
-ANCHOR = 12
+ANCHOR = 6
 HOT_ANCHORS = 1024
 HOT_COUNT = 24
 PART = 1 << 18  # windows handled at once
@@ -176,7 +177,7 @@ def _rows(batch: pa.RecordBatch, name: str) -> list:
 
 def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     column = batch.column(batch.schema.get_field_index(name))
-    values = column.values.to_numpy(zero_copy_only=False)
+    values = column.values.to_numpy(zero_copy_only=False)  # of the whole parent; the offsets point into it
     offsets = column.offsets.to_numpy()
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
@@ -199,7 +200,7 @@ def text_anchors(rows: DataFrame, window: int) -> DataFrame:
     """(row, anchors): each place's anchor value once, so a value may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, found = [], []
             for key, text in zip(_rows(batch, "row"), _rows(batch, "text"), strict=True):
                 words = words_of(text or "")
@@ -224,7 +225,7 @@ def reference_passages(rows: DataFrame, hot: DataFrame, window: int) -> list[tup
     wanted = F.broadcast(hot.groupBy("row").agg(F.collect_list("anchor").alias("anchors")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple[int, int, str]] = []
             for key, text, own in zip(_rows(batch, "row"), _rows(batch, "text"), _lists(batch, "anchors"), strict=True):
                 words = words_of(text)
@@ -270,7 +271,7 @@ def candidates(joined: DataFrame, shared, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference, frequent = shared.value
         told: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             keys: list[int | None] = []
             hashes, starts = [], []
             reports: list[int] = []
@@ -310,11 +311,17 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     extra = {f"_c{k}": c for k, c in enumerate(carry)}
     rows = documents.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for k, c in extra.items()])
-    found = checkpointed(text_anchors(rows, window))
+    # exact copies: every window of a text that stands twice repeats, and one of the rows stands for all
+    texts = rows.select("row", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
+    copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("c"), F.min("row").alias("rep")).where("c > 1")
+    copied = checkpointed(texts.join(copies, ["t1", "t2"]).select("row", "rep").distinct())
+    spare = copied.where("row <> rep").select("row")
+    found = checkpointed(text_anchors(rows, window).join(spare, "row", "left_anti").dropDuplicates(["row"]))
     single = found.select("row", F.explode("anchors").alias("anchor"))
-    counts = single.groupBy("anchor").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1")
+    counts = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     repeated = single.join(counts.select("anchor"), "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
-    hot = counts.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).select("anchor", F.col("first").alias("row"))
+    frequent = counts.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).select("anchor")
+    hot = single.join(F.broadcast(frequent), "anchor").groupBy("anchor").agg(F.min("row").alias("row"))
     hot_rows = hot.collect()  # at most HOT_ANCHORS
     spark = documents.sparkSession
     bounded = spark.createDataFrame([(r["anchor"], r["row"]) for r in hot_rows], "anchor long, row long")
@@ -322,6 +329,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast((reference, np.array([r["anchor"] for r in hot_rows], np.int64)))
 
     text, repeated = rows.repartition("row"), checkpointed(repeated)
+    whole_copies = copied.select("row", F.lit(True).alias("copied")).distinct()
     windows = candidates(text.join(repeated, "row"), shared, window)
     pending = windows.select("row", F.explode(F.arrays_zip("hash", "start")).alias("w")).select("row", "w.hash", "w.start")
     twice = pending.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -333,11 +341,14 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference, frequent = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             cols: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "text": []}
-            for key, body, own, marks in zip(_rows(batch, "row"), _rows(batch, "text"), _lists(batch, "starts"), _lists(batch, "anchors"), strict=True):
+            columns = (_rows(batch, "row"), _rows(batch, "text"), _rows(batch, "copied"), _lists(batch, "starts"), _lists(batch, "anchors"))
+            for key, body, copied_row, own, marks in zip(*columns, strict=True):
                 words = words_of(body or "")
                 kept = words
+                if copied_row:
+                    own, marks = np.arange(max(len(words) - window + 1, 0)), marks[:0]
                 own = own.astype(np.int64)
                 if len(np.intersect1d(marks, frequent)):
                     done = settled_by(reference, frequent, key, words, word_hashes(words), window)
@@ -362,6 +373,6 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     none = lambda name, kind: F.coalesce(name, F.array().cast(f"array<{kind}>")).alias(name)
-    whole = text.join(repeated, "row", "left").join(starts, "row", "left")
-    whole = whole.select("row", "id", "text", none("starts", "int"), none("anchors", "long"), *extra)
+    whole = text.join(repeated, "row", "left").join(starts, "row", "left").join(whole_copies, "row", "left")
+    whole = whole.select("row", "id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), none("starts", "int"), none("anchors", "long"), *extra)
     return whole.mapInArrow(finish, schema).withColumnsRenamed(extra)

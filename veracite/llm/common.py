@@ -28,6 +28,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, unless the session names a size: texts may be long."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; it survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -46,6 +55,7 @@ def map_texts(
     ``fn`` gets an iterator of (ids, texts) and yields column dicts. Null texts
     arrive as empty strings. Only the two columns leave the scan.
     """
+    bounded_batches(df.sparkSession)
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 

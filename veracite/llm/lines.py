@@ -27,7 +27,7 @@ unless they bear the names ``n_lines`` or ``n_removed``, which are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -42,36 +42,47 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def single_spaced(text: Column) -> Column:
     """Runs of white space other than newlines become one space; most texts pass untouched."""
-    return F.when(text.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(text)
+    odd = F.contains(text, F.lit("  "))
+    for mark in "\t\x0b\f\r":
+        odd = odd | F.contains(text, F.lit(mark))
+    return F.when(odd, F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(text)
 
 
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+def clean_lines(text: Column) -> Column:
+    return F.split(single_spaced(text), "\n")
 
 
-def _halves(words: Column, n: Column, min_words: int) -> Column:
-    """Hashes of the leading and trailing halves, as cut for n and for n + 1 words."""
-    cuts = [F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")]
-    ends = [F.xxhash64(F.lit(side), h, F.slice(words, F.lit(1) if side == 0 else n - h + 1, h)) for side in (0, 1) for h in cuts]
-    return F.when(n >= max(min_words - 1, 3), F.array_distinct(F.array(*ends))).otherwise(F.array().cast("array<long>"))
+def _half(side: int, line: Column, words: Column) -> Column:
+    """Hash of the first (0) or last (1) ``words`` words of a line."""
+    return F.xxhash64(F.lit(side), words, F.call_function("substring_index", line, F.lit(" "), words if side == 0 else -words))
 
 
 def hashed_lines(documents: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(row, doc, line_no, h1, h2, halves) of the lines that hold words."""
+    """(row, doc, line_no, h1, h2, p0, s0, p1, s1) of the lines that hold words.
+
+    p and s are the hashes of the halves as cut for n (0) and for n + 1 words (1), null where they are no others or the line is short.
+    """
     texts = documents.where(F.col(text_col).isNotNull()).select(
-        row_key(id_col, text_col).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.split(single_spaced(F.col(text_col)), "\n").alias("lines")
-    )
-    words = texts.select("row", "doc", F.posexplode("lines").alias("line_no", "line")).select("row", "doc", "line_no", line_words(F.col("line")).alias("words"))
-    n = F.size("words")
-    return words.where(n > 0).select(
-        "row", "doc", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(SALT), "words").alias("h2"), _halves(F.col("words"), n, min_words).alias("halves")
+        row_key(id_col, text_col).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), clean_lines(F.col(text_col)).alias("lines")
     )
+    lines = texts.select("row", "doc", F.posexplode("lines").alias("line_no", "line")).select("row", "doc", "line_no", F.trim("line").alias("line")).where("line <> ''")
+    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    n, line = F.col("n"), F.col("line")
+    long_enough = n >= max(min_words - 1, 3)
+    first, second = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    halves = [F.when(long_enough & (F.lit(True) if cut is first else second != first), _half(side, line, cut)).alias(name) for name, side, cut in (("p0", 0, first), ("s0", 1, first), ("p1", 0, second), ("s1", 1, second))]
+    return lines.select("row", "doc", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(SALT), "line").alias("h2"), *halves)
+
+
+def places_of(lines: DataFrame) -> DataFrame:
+    """The columns that joins on (h1, h2) shuffle; alike everywhere, so that the shuffle is done once."""
+    return lines.select("row", "doc", "line_no", "h1", "h2")
 
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """(row, line_no) of the lines that stand in a row of a smaller id too, or earlier in their own row."""
     several = lines.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = lines.select("row", "doc", "line_no", "h1", "h2").join(several, ["h1", "h2"])
+    met = places_of(lines).join(several, ["h1", "h2"])
     later = met.where("doc > least").select("row", "line_no")
     own = met.where("doc = least").groupBy("row", "h1", "h2").agg(F.array_sort(F.collect_set("line_no")).alias("at")).where("size(at) > 1")
     return later.unionByName(own.select("row", F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("line_no")))
@@ -79,48 +90,66 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """(doc, line_no, row) of the first place of each distinct line that shares a half with a different line."""
-    halves = lines.select("h1", F.explode("halves").alias("half"))
+    halves = lines.select("h1", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
     wanted = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    places = lines.select("h1", "h2", "doc", "line_no", "row").join(wanted, "h1", "left_semi")
+    places = places_of(lines).join(wanted, "h1", "left_semi")
     return places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "row")).alias("at")).select("at.*")
 
 
+def variants(texts: DataFrame) -> DataFrame:
+    """(no, i, v): for each line its hash (i = 0) and that of each variant without its i-th word.
+
+    The hash of a word sequence is the exclusive or of its words' hashes with
+    their places, so all variants of a line take linear time.
+    """
+    words = texts.select("no", F.posexplode("words").alias("at", "word"))
+    words = words.select("no", "at", F.xxhash64("word", "at").alias("here"), F.xxhash64("word", F.col("at") - 1).alias("shifted"))
+    order = Window.partitionBy("no").orderBy("at")
+    until, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("no")
+    xor = lambda c, w: F.bit_xor(c).over(w)
+    seen = words.select("no", "at", "here", xor("here", until).alias("a"), xor("shifted", until).alias("b"), xor("here", whole).alias("all_a"), xor("shifted", whole).alias("all_b"))
+    before, after = F.col("a").bitwiseXOR(F.col("here")), F.col("b").bitwiseXOR(F.col("all_b"))
+    both = F.when(F.col("at") == 0, F.array(F.struct(F.lit(0).alias("i"), F.col("all_a").alias("v")), F.struct(F.lit(1).alias("i"), before.bitwiseXOR(after).alias("v"))))
+    one = F.array(F.struct((F.col("at") + 1).alias("i"), before.bitwiseXOR(after).alias("v")))
+    return seen.select("no", F.explode(F.coalesce(both, one)).alias("k")).select("no", "k.i", "k.v")
+
+
 def near_lines(documents: DataFrame, places: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(h1, h2) of the distinct lines at ``places`` that have an earlier near line."""
     wanted = places.groupBy("row", "doc").agg(F.collect_set("line_no").alias("line_nos"))
     source = documents.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    chosen = source.join(wanted, "row").select("row", "doc", "line_nos", F.split(single_spaced(F.col("text")), "\n").alias("lines"))
-    words = chosen.select("row", "doc", F.explode("line_nos").alias("line_no"), "lines").select("row", "doc", "line_no", line_words(F.get("lines", F.col("line_no"))).alias("words"))
-    texts = checkpointed(words.where(F.size("words") >= min_words).select(F.struct("doc", "line_no", "row").alias("at"), "words").distinct())
-
-    n = F.size("words")
-    variants = texts.select("at", "words", F.explode(F.sequence(F.lit(0), n)).alias("i"))  # 0: the line itself
-    before, after = F.slice("words", F.lit(1), F.greatest(F.col("i") - 1, F.lit(0))), F.slice("words", F.col("i") + 1, n)
-    keys = variants.select("at", "i", F.xxhash64(before, after).alias("v"), (n - (F.col("i") > 0).cast("int")).alias("m"))
+    chosen = source.join(wanted, "row").select("row", "doc", "line_nos", clean_lines(F.col("text")).alias("lines"))
+    lines = chosen.select("row", "doc", F.explode("line_nos").alias("line_no"), "lines").select("row", "doc", "line_no", F.trim(F.get("lines", F.col("line_no"))).alias("line"))
+    texts = lines.select("doc", "line_no", "row", "line", F.split("line", " ").alias("words")).where(F.size("words") >= min_words).distinct()
+    texts = checkpointed(texts.orderBy("doc", "line_no", "row").select(F.monotonically_increasing_id().alias("no"), "line", "words"))  # numbers in order
+
+    every = variants(texts)
+    common = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    keys = checkpointed(every.join(common, "v", "left_semi"))
     # a replaced word: the same variant at the same place; an inserted or deleted word: one line is the other's variant
-    leads = keys.groupBy("v", "m", "i").agg(F.min("at").alias("lead"))
-    whole = leads.where("i = 0").select("v", "m", F.col("lead").alias("whole"))
-    shorter = leads.where("i > 0").groupBy("v", "m").agg(F.min(F.struct("lead", "i")).alias("s"))
+    leads = keys.groupBy("v", "i").agg(F.min("no").alias("lead"))
+    whole = leads.where("i = 0").select("v", F.col("lead").alias("whole"))
+    shorter = leads.where("i > 0").groupBy("v").agg(F.min(F.struct("lead", "i")).alias("s"))
     pair = lambda lead, i: F.struct(lead.alias("lead"), i.cast("int").alias("lead_i"))
-    replaced = leads.where("i > 0").join(whole, ["v", "m"], "left").select("v", "m", "i", F.array(pair(F.col("lead"), F.col("i")), pair(F.col("whole"), F.lit(0))).alias("leads"))
-    deleted = whole.join(shorter, ["v", "m"]).select("v", "m", F.lit(0).alias("i"), F.array(pair(F.col("s.lead"), F.col("s.i"))).alias("leads"))
-    met = keys.join(replaced.unionByName(deleted), ["v", "m", "i"]).select("at", "i", F.explode("leads").alias("l")).select("at", "i", "l.lead", "l.lead_i")
-    pairs = met.where("lead < at").distinct()
-    pairs = pairs.join(texts.select("at", F.col("words").alias("a")), "at").join(texts.select(F.col("at").alias("lead"), F.col("words").alias("b")), "lead")
+    replaced = leads.where("i > 0").join(whole, "v", "left").select("v", "i", F.array(pair(F.col("lead"), F.col("i")), pair(F.col("whole"), F.lit(0))).alias("leads"))
+    deleted = whole.join(shorter, "v").select("v", F.lit(0).alias("i"), F.array(pair(F.col("s.lead"), F.col("s.i"))).alias("leads"))
+    met = keys.join(replaced.unionByName(deleted), ["v", "i"]).select("no", "i", F.explode("leads").alias("l")).select("no", "i", "l.lead", "l.lead_i")
+    pairs = met.where("lead < no").distinct()
+    pairs = pairs.join(texts.select("no", "line", F.col("words").alias("a")), "no").join(texts.select(F.col("no").alias("lead"), F.col("words").alias("b")), "lead")
 
     def without(w: str, i: str) -> Column:
         return F.when(F.col(i) == 0, F.col(w)).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(F.col(i) - 1, F.lit(0))), F.slice(w, F.col(i) + 1, F.size(w))))
 
     true_pairs = pairs.where(without("a", "i") == without("b", "lead_i"))
-    return true_pairs.select(F.xxhash64("a").alias("h1"), F.xxhash64(F.lit(SALT), "a").alias("h2")).distinct()
+    return true_pairs.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(SALT), "line").alias("h2")).distinct()
 
 
 def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(row, gone array) of the rows that lose lines: the rising line numbers, from 0; ``row`` is ``row_key``."""
     lines = checkpointed(hashed_lines(documents, id_col, text_col, min_words))
     near = near_lines(documents, candidates(lines), id_col, text_col, min_words)
-    altered = lines.select("row", "line_no", "h1", "h2").join(near, ["h1", "h2"], "left_semi").select("row", "line_no")
+    altered = places_of(lines).join(near, ["h1", "h2"], "left_semi").select("row", "line_no")
     return repeated_lines(lines).unionByName(altered).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 

@@ -42,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced
+from .common import bounded_batches, checkpointed, sliced
 
 WINDOW = 35
 ANCHOR = 6
-HOT_ANCHORS = 1024
+HOT_ANCHORS = 512
 HOT_COUNT = 24
 PART = 1 << 18  # windows handled at once
 POSITION_BITS = np.uint64(20)
@@ -310,6 +310,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words joined by spaces. The columns named in ``carry`` pass through.
     """
     extra = {f"_c{k}": c for k, c in enumerate(carry)}
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for k, c in extra.items()])
     # exact copies: every window of a text that stands twice repeats, and one of the rows stands for all
     texts = rows.select("row", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, training_rows
+from .common import bounded_batches, map_texts, sliced, training_rows
 
 PER_CLASS = 5000
 MAX_CHARS = 20_000
@@ -283,10 +283,11 @@ def score(documents: DataFrame, net: Network | None, id_col: str = "doc_id", tex
 
 def keep_clean(documents: DataFrame, net: Network | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows that score below ``threshold``, with all their columns, in one pass and without a shuffle."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(score_texts(shared.value, texts) < threshold))
 

@@ -97,6 +97,19 @@ def candidates(lines: DataFrame) -> DataFrame:
     return places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "row")).alias("at")).select("at.*")
 
 
+SLOTS = 1 << 24  # bits of the row filter: 2 MB whatever the input
+
+
+def probably_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``row`` may be in ``wanted``: a broadcast bitmap of fixed size drops most others before a shuffle."""
+    slot = F.pmod(F.col("row"), F.lit(SLOTS)) + 1
+    marked = wanted.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_at", F.bitmap_bit_position(slot))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)) % 2 == 1
+    return placed.join(F.broadcast(marked), "_bucket").where(is_set).drop("_bucket", "_at", "_bits")
+
+
 def variants(texts: DataFrame) -> DataFrame:
     """(no, i, v): for each line its hash (i = 0) and that of each variant without its i-th word.
 
@@ -117,9 +130,9 @@ def variants(texts: DataFrame) -> DataFrame:
 
 def near_lines(documents: DataFrame, places: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(h1, h2) of the distinct lines at ``places`` that have an earlier near line."""
-    wanted = places.groupBy("row", "doc").agg(F.collect_set("line_no").alias("line_nos"))
+    wanted = checkpointed(places.groupBy("row", "doc").agg(F.collect_set("line_no").alias("line_nos")))
     source = documents.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    chosen = source.join(wanted, "row").select("row", "doc", "line_nos", clean_lines(F.col("text")).alias("lines"))
+    chosen = probably_in(source, wanted).join(wanted, "row").select("row", "doc", "line_nos", clean_lines(F.col("text")).alias("lines"))
     lines = chosen.select("row", "doc", F.explode("line_nos").alias("line_no"), "lines").select("row", "doc", "line_no", F.trim(F.get("lines", F.col("line_no"))).alias("line"))
     texts = lines.select("doc", "line_no", "row", "line", F.split("line", " ").alias("words")).where(F.size("words") >= min_words).distinct()
     texts = checkpointed(texts.orderBy("doc", "line_no", "row").select(F.monotonically_increasing_id().alias("no"), "line", "words"))  # numbers in order

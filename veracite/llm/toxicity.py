@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, map_texts, sliced, training_rows
 
-PER_CLASS = 5000
+PER_CLASS = 3000
 MAX_CHARS = 20_000
 BUCKETS = 1 << 16
 DIM = 6
@@ -192,8 +192,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, batch: int = 64)
     train_rows = order[len(order) // 5 :] if len(order) >= 20 else order
     held = held if len(order) >= 20 else order
     net = _initial([docs[i] for i in train_rows], y[train_rows], rng)
-    cache = {w: word_ids(w) for d in docs for w in d}
-    ids = [np.array([cache[w] for w in d], np.int64).reshape(-1, TABLES) for d in docs]
+    held_docs = [docs[i] for i in held]
+    flat, lengths, distinct = index_words(docs)
+    del docs
+    of_word = np.array([word_ids(w) for w in distinct], np.int32).reshape(-1, TABLES)
+    del distinct
+    places = np.split(flat.astype(np.int32), np.cumsum(lengths)[:-1])
+    ids = [of_word[p] for p in places]
+    del flat, places
     g_tables = np.full((TABLES, BUCKETS), 1e-2, np.float32)
     g_filters, g_bias, g_out, g_ob = np.full_like(net.filters, 1e-2), np.full_like(net.bias, 1e-2), np.full_like(net.out, 1e-2), 1e-2
     widths = np.repeat(WIDTHS, FILTERS)
@@ -237,7 +243,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, batch: int = 64)
                 value -= rate * grad / np.sqrt(g)
             g_ob += d_ob**2
             net.out_bias -= rate * d_ob / np.sqrt(g_ob)
-    net.thresholds = _thresholds(net, [docs[i] for i in held], y[held])
+    net.thresholds = _thresholds(net, held_docs, y[held])
     return net
 
 

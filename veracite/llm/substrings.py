@@ -182,6 +182,14 @@ def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory of those done goes back to the system, as two workers share an executor with its JVM."""
+    for k, batch in enumerate(sliced(batches)):
+        yield batch
+        if k % 4 == 3:
+            pa.default_memory_pool().release_unused()
+
+
 def _long_lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
@@ -200,7 +208,7 @@ def text_anchors(rows: DataFrame, window: int) -> DataFrame:
     """(row, anchors): each place's anchor value once, so a value may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in _released(batches):
             keys, found = [], []
             for key, text in zip(_rows(batch, "row"), _rows(batch, "text"), strict=True):
                 words = words_of(text or "")
@@ -271,7 +279,7 @@ def candidates(joined: DataFrame, shared, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference, frequent = shared.value
         told: set[int] = set()
-        for batch in sliced(batches):
+        for batch in _released(batches):
             keys: list[int | None] = []
             hashes, starts = [], []
             reports: list[int] = []
@@ -342,7 +350,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference, frequent = shared.value
-        for batch in sliced(batches):
+        for batch in _released(batches):
             cols: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "text": []}
             columns = (_rows(batch, "row"), _rows(batch, "text"), _rows(batch, "copied"), _lists(batch, "starts"), _lists(batch, "anchors"))
             for key, body, copied_row, own, marks in zip(*columns, strict=True):

@@ -53,12 +53,13 @@ def unfenced(markdown: Column) -> Column:
 def trim_url(url: Column) -> Column:
     """Strip trailing punctuation and unbalanced closing parentheses, in turns."""
     count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
-    out = url
-    for _ in range(TRIM_PASSES):
-        out = F.regexp_replace(out, r"[.,;:!?]+\z", "")
-        loose = out.endswith(")") & (count(out, ")") > count(out, "("))
-        out = F.when(loose, F.substring(out, F.lit(1), F.length(out) - 1)).otherwise(out)
-    return out
+
+    def once(seen: Column, _: Column) -> Column:
+        bare = F.regexp_replace(seen, r"[.,;:!?]+\z", "")
+        loose = bare.endswith(")") & (count(bare, ")") > count(bare, "("))
+        return F.when(loose, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIM_PASSES)), url, once)
 
 
 def first_url(text: Column) -> Column:

@@ -1,10 +1,507 @@
-"""Registered queries of the verification engine and their DuckDB equivalents."""
+"""Registered queries of the verification engine, each with its DuckDB equivalent where SQL can state it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle as O
+from .functions import extract, text, url
+from .operators import archive, assemble, footnotes, harvest, ladder, rules, signals
+from .plans import analytics
+from .sources.tables import pages_with_claims, raw_reads, signalled_reads, table
+from .thresholds import THRESHOLDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- extraction ---------------------------------------------------------------
+
+
+@query(f"select page_id, {O.body('html')} as body from pages")
+def extract_body(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", extract.body_text(F.col("html")).alias("body"))
+
+
+@query(f"select page_id, cast(length({O.body('html')}) as int) as prose_chars from pages")
+def prose_chars(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.utf16_length(extract.body_text(F.col("html"))).alias("prose_chars"))
+
+
+@query(
+    r"""select page_id, regexp_matches(html, '(?i)<meta[^>]+property=["'']og:type["''][^>]+content=["'']article["'']|"@type"\s*:\s*"(NewsArticle|Article|Report)"|"datePublished"') as head_markers,
+    page_id % 5 = 0 as looks_binary from pages"""
+)
+def page_markers(spark, sf_dir):
+    """Head markers, and the binary test with control characters put into every fifth page."""
+    body = F.when(F.col("page_id") % 5 == 0, F.concat(F.repeat(F.lit("\x01"), 2000), F.col("html"))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", extract.head_markers(F.col("html")).alias("head_markers"), extract.looks_binary(body).alias("looks_binary"))
+
+
+@query(
+    f"""with b as (select page_id, {O.body("html")} as body from pages)
+    select page_id, [r for r in [body, 'About page ' || page_id || ' & "more".', 'Second <' || (page_id % 3) || '>'] if r <> ''] as regions from b"""
+)
+def regions_synth_meta(spark, sf_dir):
+    """Regions of pages with description tags added: repeated, quoted, commented out and inside a script."""
+    number = F.col("page_id").cast("string")
+    first = F.concat(F.lit('<META NAME="Description" data-content="no" content=" About page '), number, F.lit(" &amp; &quot;more&quot;. \">"))
+    twice = F.concat(F.lit('<meta property="og:description" content="About page '), number, F.lit(' &amp; &quot;more&quot;.">'))
+    second = F.concat(F.lit("<meta content='Second &lt;"), (F.col("page_id") % 3).cast("string"), F.lit("&gt;' name='author' property='twitter:description'/>"))
+    inert = F.lit('<!-- <meta name="description" content="commented"> --><template><meta name="description" content="inert"></template><script><meta name="description" content="code"></script>')
+    html = F.concat(F.lit("<p>"), F.lit("</p>"), F.col("html"), first, inert, twice, second)
+    body = extract.body_text(F.col("html"))
+    found = extract.html_regions(html)
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.array(body), F.slice(found, 2, 100)).alias("regions"))
+
+
+@query(f"select doc_id, {O.norm('text')} as normed from documents")
+def norm_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("normed"))
+
+
+@query(
+    f"""select item_id, start, length({O.norm("claim")}) < 16 as below_floor from (
+      select item_id, start, array_to_string(string_split(text, ' ')[start + 1 : start + 3], ' ') as claim from benchmark, (values (0), (3), (6)) s(start))"""
+)
+def claim_floor(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.lit(0), F.lit(3), F.lit(6))).alias("start"), F.split("text", " ").alias("w"))
+    claim = F.array_join(F.slice("w", F.col("start") + 1, F.lit(3)), " ")
+    return items.select("item_id", "start", text.below_claim_floor(claim, THRESHOLDS.min_claim_chars).alias("below_floor"))
+
+
+@query(
+    f"""with c as (select item_id, [string_split(text, ' ')[1], text, null] as claims from benchmark),
+    e as (select item_id, unnest([0, 1, 2]) as "index", unnest(claims) as claim from c)
+    select item_id, cast("index" as int) as "index", case when claim is null then 'not-a-string' else 'below-floor' end as reason from e
+    where claim is null or length({O.norm("claim")}) < 16"""
+)
+def validate_claims(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.array(F.split("text", " ")[0], F.col("text"), F.lit(None)).alias("claims"))
+    return footnotes.validate_claims(items, "item_id").select("item_id", "index", "reason")
+
+
+@query(f"with {O.PAGES} select page_id, sha256(array_to_string(list_sort([{O.norm('c')} for c in claims]), chr(10))) as claims_hash from page")
+def claims_hash(spark, sf_dir):
+    return pages_with_claims(spark, sf_dir).select("page_id", text.claims_hash(F.col("claims")).alias("claims_hash"))
+
+
+# --- URLs ---------------------------------------------------------------------
+
+
+@query(f"select page_id, {O.normalize_url('url')} as key, regexp_matches(url, '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*@') as credentials from pages")
+def normalize_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", url.normalize_url(F.col("url")).alias("key"), url.has_credentials(F.col("url")).alias("credentials"))
+
+
+_LANDED = """case when page_id % 4 = 0 then regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' when page_id % 4 = 1 then regexp_replace(url, '/[^/]*$', '')
+    when page_id % 4 = 2 then url else regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/other/place' end"""
+
+
+@query(f"select page_id, {O.moved_away('url', 'landed')} as moved from (select page_id, url, {_LANDED} as landed from pages)")
+def moved_away(spark, sf_dir):
+    root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    n = F.col("page_id") % 4
+    landed = F.when(n == 0, F.concat(root, F.lit("/"))).when(n == 1, F.regexp_replace("url", r"/[^/]*\z", "")).when(n == 2, F.col("url")).otherwise(F.concat(root, F.lit("/other/place")))
+    return table(spark, sf_dir, "pages").select("page_id", url.moved_away(F.col("url"), landed).alias("moved"))
+
+
+@query(
+    r"""select page_id, regexp_matches(split_part(split_part(u, '#', 1), '?', 1), '(?i)\.pdf$|/pdf/') or page_id % 7 = 3 as is_pdf from (
+    select page_id, case when page_id % 5 = 0 then url || '/a.PDF?x=1' when page_id % 5 = 1 then url || '/pdf/a' else url end as u from (select page_id, split_part(split_part(url, '#', 1), '?', 1) as url from pages))"""
+)
+def is_pdf(spark, sf_dir):
+    bare = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
+    n = F.col("page_id") % 5
+    u = F.when(n == 0, F.concat(bare, F.lit("/a.PDF?x=1"))).when(n == 1, F.concat(bare, F.lit("/pdf/a"))).otherwise(bare)
+    kind = F.when(F.col("page_id") % 7 == 3, F.lit("Application/PDF; v=1"))
+    return table(spark, sf_dir, "pages").select("page_id", url.is_pdf(u, kind).alias("is_pdf"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+
+
+@query(
+    f"""with b as (select page_id, lower({O.body("html")}) as body, regexp_split_to_array(lower({O.path("url")} || ' ' || split_part(html, ' ', 7)), '[^a-z0-9]+') as w from pages),
+    c as (select page_id, body, list_distinct([x for x in w if length(x) >= 4 and x not in ({_STOP}) and not regexp_matches(x, '^[0-9]+$')]) as words from b)
+    select page_id, case when len(words) = 0 then 0.0::double else len([x for x in words if contains(body, x)])::double / len(words) end as overlap from c"""
+)
+def slug_overlap(spark, sf_dir):
+    label = F.coalesce(F.get(F.split("html", " "), 6), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", text.slug_label_overlap(extract.body_text(F.col("html")), url.pathname(F.col("url")), label).alias("overlap"))
+
+
+# --- footnotes and claims -----------------------------------------------------
+
+
+def _markdown(pages: DataFrame) -> DataFrame:
+    """Documents of ten pages each, with fenced, repeated, bare and continued definitions."""
+    number = F.col("page_id").cast("string")
+    n = F.col("page_id") % 4
+    line = (
+        F.when(n == 0, F.concat(F.lit("[^"), number, F.lit("]: Label, <"), F.col("url"), F.lit(">")))
+        .when(n == 1, F.concat(F.lit("[^"), number, F.lit("]: see ([text]("), F.col("url"), F.lit("))")))
+        .when(n == 2, F.concat(F.lit("[^"), number, F.lit("]: bare\r\n  (see "), F.col("url"), F.lit(").")))
+        .otherwise(F.concat(F.lit("[^"), number, F.lit("]: no source\nhttps://not.example/")))
+    )
+    fenced = F.concat(F.lit("~~~~\n```\n[^x]: <https://code.example/>\n~~~~\n"), line)
+    part = F.when(F.col("page_id") % 10 == 0, fenced).otherwise(line)
+    docs = pages.select(F.floor(F.col("page_id") / 10).alias("doc_id"), "page_id", part.alias("part"))
+    return docs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "part"))), lambda p: p["part"]), "\n\nprose[^1].\n\n").alias("markdown"))
+
+
+_NOTES = """notes as (select page_id // 10 as doc_id, cast(row_number() over (partition by page_id // 10 order by page_id) as int) as n, page_id,
+    case when page_id % 4 = 3 then null when page_id % 4 = 1 then rtrim(url, '.,;:!?') else rtrim(url, '.,;:!?') end as url from pages)"""
+
+
+@query(f"with {_NOTES} select doc_id, n, url from notes")
+def footnote_parse(spark, sf_dir):
+    return footnotes.parse_footnotes(_markdown(table(spark, sf_dir, "pages"))).select("doc_id", "n", "url")
+
+
+def _claims_files(pages: DataFrame) -> DataFrame:
+    """A claims file per document: an entry for two pages of three, a reason for some, an orphan each."""
+    claim = F.concat(F.lit("a sentence that page "), F.col("page_id").cast("string"), F.lit(" carries"))
+    value = F.when(F.col("page_id") % 5 == 0, F.to_json(F.struct(F.lit("paywalled").alias("notApplicable")))).otherwise(F.to_json(F.array(claim)))
+    kept = pages.where("page_id % 3 <> 2").select(F.floor(F.col("page_id") / 10).alias("doc_id"), F.concat(F.to_json(F.array("url")), F.lit(""), value).alias("_"), F.col("url"), value.alias("value"))
+    entry = F.concat(F.regexp_extract(F.to_json(F.array("url")), r"^\[([\s\S]*)\]\z", 1), F.lit(": "), F.col("value"))
+    files = kept.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("entries"))
+    orphan = F.concat(F.lit('"_note": "x", "https://orphan.example/'), F.col("doc_id").cast("string"), F.lit('": ["nothing cites this claim any more"], '))
+    return files.select("doc_id", F.concat(F.lit("{"), orphan, F.col("entries"), F.lit("}")).alias("claims_json"))
+
+
+_CLAIMS = f"""claims as (select page_id // 10 as doc_id, page_id, {O.normalize_url("url")} as key, page_id % 5 = 0 as na from pages where page_id % 3 <> 2)"""
+
+
+@query(
+    f"""with {_NOTES}, {_CLAIMS} select n.doc_id, n.n, case when url is null then 'notApplicable' when c.key is null then 'unclaimed' when c.na then 'notApplicable' else 'checkable' end as status,
+    case when url is null then 'no external source' when c.na then 'paywalled' end as reason
+    from notes n left join claims c on n.doc_id = c.doc_id and {O.normalize_url("n.url")} = c.key"""
+)
+def join_claims(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    parsed = footnotes.refuse_problems(footnotes.parse_claims(_claims_files(pages)))
+    return footnotes.join_claims(footnotes.parse_footnotes(_markdown(pages)), parsed).select("doc_id", "n", "status", "reason")
+
+
+@query(
+    f"""with {_NOTES}, {_CLAIMS} select doc_id, key from claims where (doc_id, key) not in (select doc_id, {O.normalize_url("url")} from notes where url is not null)
+    union all select distinct doc_id, 'https://orphan.example/' || doc_id from claims"""
+)
+def orphaned_claims(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return footnotes.orphaned_claims(footnotes.parse_footnotes(_markdown(pages)), footnotes.parse_claims(_claims_files(pages)))
+
+
+# --- signals and verdicts -----------------------------------------------------
+
+
+@query(
+    f"""with {O.READS} select page_id, rung, challenge_header, false as challenge_path, challenge_signature, document_gone, not_text, blocked, readable, signature_rule, verdict from reads"""
+)
+def veto_matrix(spark, sf_dir):
+    return signalled_reads(spark, sf_dir).select(
+        "page_id", "rung", "challenge_header", "challenge_path", "challenge_signature", "document_gone", "not_text", "blocked", "readable", "signature_rule", "verdict"
+    )
+
+
+@query(
+    """select page_id, cast(case when page_id % 6 = 0 then 0 when page_id % 6 = 1 then 1 when page_id % 6 = 2 then 2 when page_id % 6 = 3 then 3 end as int) as rule from pages"""
+)
+def challenge_path(spark, sf_dir):
+    tails = ("/cdn-cgi/challenge-platform/x", "/sorry/index?a=1", "/px-captcha", None, "/captchas", "/about/consent/")
+    n = F.col("page_id") % 6
+    landed = F.coalesce(*[F.when(n == i, F.lit("https://consent.example.com") if t is None else F.concat(F.lit("https://e.com"), F.lit(t))) for i, t in enumerate(tails)])
+    return table(spark, sf_dir, "pages").select("page_id", rules.path_rule(landed, rules.RuleSet()).alias("rule"))
+
+
+@query(f"with {O.READS} select page_id, total, matched, verdict from reads where rung = 'curl'")
+def verdict_single(spark, sf_dir):
+    return signalled_reads(spark, sf_dir).where("rung = 'curl'").select("page_id", "total", "matched", "verdict")
+
+
+@query(f"with {O.READS} select rung, verdict, count(*) as n from reads group by all")
+def verdict_counts(spark, sf_dir):
+    return signalled_reads(spark, sf_dir).groupBy("rung", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"with {O.CLIMBED} select page_id, rung, attempted from climbed")
+def ladder_attempts(spark, sf_dir):
+    return ladder.attempted(signalled_reads(spark, sf_dir)).select("page_id", "rung", "attempted")
+
+
+def _judged(spark, sf_dir):
+    return assemble.judge(signalled_reads(spark, sf_dir))
+
+
+@query(
+    f"""with {O.JUDGED} select url, verdict, judged, escalated, won_rung, cast(len(rungs) as int) as n_rungs, case when moved then landed end as redirected_to from judged"""
+)
+def assemble_verdict(spark, sf_dir):
+    return _judged(spark, sf_dir).select("url", "verdict", "judged", "escalated", F.col("won.rung").alias("won_rung"), F.size("rungs_attempted").alias("n_rungs"), "redirected_to")
+
+
+@query(f"with {O.JUDGED} select url, unnest(missed_all) as claim from judged where verdict = 'unsupported'")
+def missed_claims(spark, sf_dir):
+    return _judged(spark, sf_dir).select("url", F.explode("missed").alias("claim"))
+
+
+@query(f"with {O.JUDGED} select url, cast(len(claims) - len(missed_all) as int) as located from judged where verdict in ('supported', 'unsupported') and len(claims) > len(missed_all)")
+def evidence_located(spark, sf_dir):
+    """How many claims each URL's merged evidence covers."""
+    reads = signalled_reads(spark, sf_dir)
+    shown = assemble.with_evidence(assemble.judge(reads), reads).where("evidence is not null")
+    return shown.select("url", F.size(F.flatten(F.transform("evidence", lambda e: e["claims"]))).alias("located"))
+
+
+@query()
+def evidence_excerpts(spark, sf_dir):
+    """The passages themselves; how they are cut is checked in tests."""
+    reads = signalled_reads(spark, sf_dir)
+    return assemble.with_evidence(assemble.judge(reads), reads).where("evidence is not null").select("url", F.explode("evidence").alias("e")).select("url", "e.claims", "e.excerpt", "e.rung")
+
+
+_REACH = f"""with {O.CLIMBED}, g as (select url, max(readable::int) = 1 as readable, max(case when readable then prose_chars end) as prose_chars, arg_max(rung, prose_chars) filter (readable) as rung,
+    max(document_gone::int) as gone, max(not_text::int) as no_text, max(blocked::int) as challenged, max(prose_chars) as most from climbed where attempted group by url),
+    reach as (select url, readable, cast(prose_chars as int) as prose_chars, rung, case when readable then null when gone = 1 then 'the origin says the document is gone (404/410)'
+    when no_text = 1 then 'the body is not text (binary or a non-textual content-type)' when challenged = 1 then 'challenge interstitial'
+    else 'only ' || most || ' characters extracted' end as reason from g)"""
+
+
+@query(f"{_REACH} select * from reach")
+def reachability(spark, sf_dir):
+    return assemble.reachability(ladder.attempted(signalled_reads(spark, sf_dir)))
+
+
+@query(f"{_REACH} select count(*) as urls, coalesce(avg(readable::int::double), 1.0) as rate from reach")
+def reachability_rate(spark, sf_dir):
+    return assemble.reachability_rate(reachability(spark, sf_dir))
+
+
+@query(
+    f"""with {O.JUDGED}, t as (select count(*) filter (verdict = 'supported') as supported, count(*) filter (verdict = 'unsupported') as unsupported,
+    count(*) filter (verdict = 'unreachable') as unreachable, count(*) filter (verdict = 'unclaimed') as unclaimed from judged)
+    select *, cast(case when unsupported > 0 or unclaimed > 0 then 1 else 0 end as int) as exit_code from t"""
+)
+def run_exit(spark, sf_dir):
+    return assemble.run_exit(_judged(spark, sf_dir))
+
+
+# --- harvest ------------------------------------------------------------------
+
+
+@query(f"with d as (select doc_id, {O.norm('text')} as t from documents), b as (select item_id, {O.norm('text')} as t from benchmark) select doc_id, item_id from d join b on contains(d.t, b.t)")
+def contains_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("d"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.norm(F.col("text")).alias("b"))
+    return harvest.contains_join(docs, items, "doc_id", "d", "item_id", "b")
+
+
+_SPANS = """s as (select page_id % 20 as g, page_id as o, array_to_string(string_split(html, ' ')[2 : 2 + page_id % 5], ' ') as span from pages)"""
+
+
+@query(
+    f"""with {_SPANS}, n as (select *, {O.norm("span")} as t from s)
+    select g, o from n where t <> '' and not exists (select 1 from n m where m.g = n.g and m.o <> n.o and contains(m.t, n.t) and (m.t <> n.t or m.o < n.o))"""
+)
+def drop_contained(spark, sf_dir):
+    spans = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("g"), F.col("page_id").alias("o"), F.array_join(F.slice(F.split("html", " "), F.lit(2), (F.col("page_id") % 5 + 1).cast("int")), " ").alias("span"))
+    return harvest.drop_contained(spans, ["g"], "o").select("g", "o")
+
+
+@query()
+def span_mining(spark, sf_dir):
+    """Spans that benchmark passages (drafts) share with documents (sources), after the gram prune."""
+    drafts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("draft_id"), F.col("text").alias("draft"))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source"))
+    return harvest.mine_spans(harvest.prune_pairs(drafts, sources))
+
+
+_SPAN_ROWS = f"""{O.PAGES},
+sp as (select page_id // 10 as doc_id, url as key, unnest(claims || ['tiny claim']) as span from page),
+rg as (select page_id // 10 as doc_id, url as key, {O.norm("body || case when page_id % 10 = 1 then ' no page says this sentence about number ' || (page_id + 3) else '' end")} as region from page),
+ex as (select page_id // 10 as doc_id, url as key, [claims[1]] as claims from page where page_id % 4 = 0),
+fl as (select s.doc_id, s.key, span, {O.norm("span")} as t from sp s),
+lb as (select f.doc_id, f.key, span, case when length(t) < 16 then 'floor'
+    when exists (select 1 from rg where rg.doc_id = f.doc_id and rg.key <> f.key and contains(rg.region, f.t)) then 'frequency'
+    when exists (select 1 from ex, unnest(ex.claims) c(c) where ex.doc_id = f.doc_id and ex.key = f.key and c is not null and (contains({O.norm("c")}, f.t) or contains(f.t, {O.norm("c")}))) then 'claimed'
+    else 'kept' end as label from fl f)"""
+
+
+@query(f"with {_SPAN_ROWS} select doc_id, key, span, label from lb")
+def filter_attribution(spark, sf_dir):
+    pages = pages_with_claims(spark, sf_dir).withColumn("doc_id", F.floor(F.col("page_id") / 10)).withColumnRenamed("url", "key")
+    spans = pages.select("doc_id", "key", F.explode(F.concat("claims", F.array(F.lit("tiny claim")))).alias("span"))
+    extra = F.when(F.col("page_id") % 10 == 1, F.concat(F.lit(" no page says this sentence about number "), (F.col("page_id") + 3).cast("string"))).otherwise(F.lit(""))
+    regions = pages.select("doc_id", "key", text.norm(F.concat("body", extra)).alias("norm_region"))
+    existing = pages.where("page_id % 4 = 0").select("doc_id", "key", F.filter(F.slice("claims", 1, 1), lambda c: c.isNotNull()).alias("claims"))
+    return harvest.filter_spans(spans, regions, existing)
+
+
+@query(f"with {_SPAN_ROWS} select doc_id, key, " + ", ".join(f"count(*) filter (label = '{n}') as {n}" for n in ("floor", "frequency", "rules", "claimed", "kept")).replace(" as floor", ' as "floor"') + " from lb group by doc_id, key")
+def filter_drops(spark, sf_dir):
+    return harvest.drop_counts(filter_attribution(spark, sf_dir))
+
+
+# --- archive and drift --------------------------------------------------------
+
+
+@query(f"with {O.CLIMBED}, b as (select sha256(case when rung = 'node' and page_id % 7 = 2 then '<html><body>Just a moment...</body></html>' else p.html end) as hash from climbed c join pages p using (page_id) where attempted) select hash, substr(hash, 1, 2) as prefix from b group by hash")
+def archive_blobs(spark, sf_dir):
+    return archive.blobs(ladder.attempted(signalled_reads(spark, sf_dir)).where("attempted")).select("hash", "prefix")
+
+
+def _archive(spark, sf_dir):
+    """The archive of the first run, with a changed claims hash for every 13th page and an older tool for every 17th."""
+    reads = ladder.attempted(signalled_reads(spark, sf_dir))
+    made = archive.entries(reads, assemble.judge(signalled_reads(spark, sf_dir)), "1.0", F.lit("2026-01-01T00:00:00Z"))
+    numbered = made.join(table(spark, sf_dir, "pages").select("url", "page_id"), "url")
+    changed = numbered.withColumn("claims_hash", F.when(F.col("page_id") % 13 == 0, F.lit("other")).otherwise(F.col("claims_hash")))
+    return changed.withColumn("tool_version", F.when(F.col("page_id") % 17 == 0, F.lit("0.9")).otherwise(F.col("tool_version")))
+
+
+@query(
+    f"""with {O.JUDGED} select {O.normalize_url("url")} as key, case when page_id % 13 = 0 or page_id % 17 = 0 then '2026-02-02' else '2026-01-01T00:00:00Z' end as archived_at
+    from judged where verdict = 'supported'"""
+)
+def archive_merge(spark, sf_dir):
+    """Merge a second run into the archive: only materially changed rows are replaced."""
+    reads = ladder.attempted(signalled_reads(spark, sf_dir))
+    staged = archive.entries(reads, assemble.judge(signalled_reads(spark, sf_dir)), "1.0", F.lit("2026-02-02"))
+    old = _archive(spark, sf_dir).drop("page_id")
+    return archive.merge(old, staged.select(old.columns)).select("key", "archived_at")
+
+
+def _drift(spark, sf_dir):
+    """Live reads with changed bodies (every fifth page) and errors (every eighth) against the archive's replay."""
+    raw = raw_reads(spark, sf_dir)
+    n = F.col("page_id")
+    live = raw.withColumn("raw_body", F.when(n % 5 == 0, F.repeat(F.lit("<p>another text stands here now.</p>"), 400)).otherwise(F.col("raw_body")))
+    live = live.withColumn("status", F.when(n % 8 == 0, F.lit(410)).otherwise(F.col("status")))
+    judged = assemble.judge(signals.with_signals(live))
+    kept = _archive(spark, sf_dir)
+    blobs = archive.blobs(raw)
+    again = archive.replay(kept, blobs).join(raw.select("url", "claims").distinct(), "url")
+    replayed = assemble.judge(signals.with_signals(again))
+    return archive.compare(judged, kept, replayed, "1.0")
+
+
+_DRIFT = f"""with {O.JUDGED},
+d as (select {O.normalize_url("url")} as key, page_id, verdict as recorded, claims, rungs,
+  case when len(claims) = 0 then 'unclaimed' when page_id % 8 = 0 then 'unreachable'
+    when page_id % 5 = 0 then 'changed' else verdict end as live from judged),
+c as (select key, page_id, case when recorded <> 'supported' then 'noBaseline' when page_id % 8 = 0 then 'gone' when page_id % 13 = 0 then 'confounded'
+  when live = 'changed' then 'sourceDrift' else 'clean' end as category from d)"""
+
+
+@query(f"{_DRIFT} select key, category from c")
+def drift_category(spark, sf_dir):
+    return _drift(spark, sf_dir).select("key", "category")
+
+
+@query(
+    f"""{_DRIFT}, t as (select """
+    + ", ".join(f"count(*) filter (category = '{n}') as \"{n}\"" for n in ("clean", "sourceDrift", "pipelineDrift", "gone", "unreachable", "noBaseline", "confounded", "unclaimed"))
+    + """ from c) select *, cast(case when "sourceDrift" > 0 then 1 when "pipelineDrift" > 0 then 2 else 0 end as int) as exit_code from t"""
+)
+def recheck_exit(spark, sf_dir):
+    return archive.recheck_exit(_drift(spark, sf_dir))
+
+
+# --- calibration --------------------------------------------------------------
+
+
+@query("select lang, min(length(text)) as least, max(length(text)) as most, count(*) as n from documents group by lang")
+def populations_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("long").alias("prose_chars"))
+    return analytics.populations(docs, "lang")
+
+
+@query(
+    """with b as (select max(case when quality = 0 then length(text) end) as challenge, min(case when quality = 1 then length(text) end) as document from documents join labels using (doc_id)),
+    f as (select range as floor from range(1, 120001)) select count(*) as n, min(floor) as lowest, max(floor) as highest from f, b where floor >= challenge / 50 + 200 and floor <= document * 50 - 200"""
+)
+def floor_sweep(spark, sf_dir):
+    """Floors that part two populations with a margin of 200; the populations are stretched so that they part."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("quality", F.length("text").alias("prose_chars"))
+    bounds = docs.agg((F.max(F.when(F.col("quality") == 0, F.col("prose_chars"))) / 50).alias("challenge"), (F.min(F.when(F.col("quality") == 1, F.col("prose_chars"))) * 50).alias("document"))
+    return analytics.floor_sweep(bounds)
+
+
+_LENGTHS = f"select length({O.norm('c')}) as n from (select unnest(claims) as c from page)"
+
+
+@query(
+    f"""with {O.PAGES}, l as ({_LENGTHS}) select case when n <= 10 then '1-10' when n <= 20 then '11-20' when n <= 30 then '21-30' when n <= 40 then '31-40' when n <= 60 then '41-60' else '61+' end as band, count(*) as claims from l group by 1"""
+)
+def length_bands(spark, sf_dir):
+    claims = pages_with_claims(spark, sf_dir).select(F.explode("claims").alias("claim"))
+    return analytics.length_bands(claims.select(text.utf16_length(text.norm(F.col("claim"))).alias("n")))
+
+
+@query(f"with {O.PAGES}, l as ({_LENGTHS}) select cast(f as int) as floor, count(*) filter (n < f) as refused from l, (values (8), (12), (16), (20), (25), (30), (40)) v(f) group by f")
+def refused_at(spark, sf_dir):
+    claims = pages_with_claims(spark, sf_dir).select(F.explode("claims").alias("claim"))
+    return analytics.refused_at(claims.select(text.utf16_length(text.norm(F.col("claim"))).alias("n")))
+
+
+@query("select cast(case when page_id % 4 = 0 then 2 else 1 end as int) as regions, count(*) as pages from pages group by 1")
+def region_histogram(spark, sf_dir):
+    described = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit('<meta name="description" content="One more.">'))).otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select(extract.html_regions(described).alias("regions"))
+    return pages.groupBy(F.size("regions").alias("regions")).agg(F.count("*").alias("pages"))
+
+
+@query(
+    f"""with {O.CLIMBED}, j as (select url, landed, readable, row_number() over (partition by url order by readable desc, case when readable then rung_ord else -rung_ord end) as k from climbed where attempted),
+    c as (select case when {O.path("url")} = {O.path("landed")} then 'same page' when {O.moved_away("url", "landed")} then 'moved away' else 'redirected' end as kind from j where k = 1)
+    select kind, count(*) as urls from c group by kind"""
+)
+def redirect_census(spark, sf_dir):
+    return analytics.redirect_census(ladder.attempted(signalled_reads(spark, sf_dir)))
+
+
+@query(f"with {O.JUDGED}, b as (select url, case when page_id % 6 = 0 then 'unreachable' else verdict end as before, verdict as after from judged) select before, after, count(*) as urls from b group by all")
+def verdict_movement(spark, sf_dir):
+    after = _judged(spark, sf_dir).select("url", "verdict")
+    numbered = after.join(table(spark, sf_dir, "pages").select("url", "page_id"), "url")
+    before = numbered.select("url", F.when(F.col("page_id") % 6 == 0, F.lit("unreachable")).otherwise(F.col("verdict")).alias("verdict"))
+    return analytics.verdict_movement(before, after)
+
+
+@query(
+    f"""with b as (select page_id, length({O.body("html")}) as before, length({O.body("html")}) + (case when page_id % 3 = 0 then 1 + length('page ' || page_id) else 0 end) as after from pages)
+    select count(*) as pages, count(*) filter (after > before) as gained, median(after - before) as median_gain, max(after - before)::int as most from b"""
+)
+def gain_distribution(spark, sf_dir):
+    described = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit('<meta name="description" content="page '), F.col("page_id").cast("string"), F.lit('">'))).otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select(text.utf16_length(extract.body_text(F.col("html"))).alias("before"), text.utf16_length(F.array_join(extract.html_regions(described), " ")).alias("after"))
+    return analytics.gain_distribution(pages)
+
+
+@query(f"select page_id, sha256({O.body('html')}) as fidelity from pages")
+def fidelity_hash(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.sha256_hex(F.array_join(extract.html_regions(F.col("html")), " ")).alias("fidelity"))
+
+
+@query(f"with n as (select {O.norm('text')} as t from documents), g as (select unnest(list_distinct([substr(t, i, 21) for i in range(1, greatest(length(t) - 20, 1) + 1) if length(t) >= 21])) as gram from n) select count(*) as rows, count(distinct gram) as grams from g")
+def gram_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("t"))
+    return harvest.grams(docs, ["doc_id"], "t", THRESHOLDS.harvest_seed_chars).agg(F.count("*").alias("rows"), F.countDistinct("gram").alias("grams"))
+
+

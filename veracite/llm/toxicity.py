@@ -17,15 +17,17 @@ ignored. At most ``per_class`` labelled rows of each kind, of texts of at most
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, map_texts, sliced, training_rows
+from .common import bounded_batches, checkpointed, map_texts, sliced, training_rows
 
 PER_CLASS = 3000
 MAX_CHARS = 20_000
@@ -270,9 +272,16 @@ def _thresholds(net: Network, docs: list[list[bytes]], y: np.ndarray, least: int
 
 def fit(documents: DataFrame, labels: DataFrame, held_out, label_col: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Network | None:
     """Train on a bounded labelled sample; ``held_out`` is a column expression on ``labels``."""
-    rows = training_rows(documents, labels, label_col, held_out, per_class, max_chars).select("_id", "_label", "_text").toPandas()
-    rows = rows[rows["_text"].notna()].sort_values(["_id", "_text"])
-    return train(rows["_text"].tolist(), rows["_label"].to_numpy())
+    rows = checkpointed(training_rows(documents, labels, label_col, held_out, per_class, max_chars).select("_id", "_label", "_text"))
+
+    def run(batches):
+        got = pd.concat(list(batches))
+        got = got[got["_text"].notna()].sort_values(["_id", "_text"])
+        yield pd.DataFrame({"net": [pickle.dumps(train(got["_text"].tolist(), got["_label"].to_numpy()))]})
+
+    # the sample is bounded, so one task holds it; the driver gets the weights alone
+    trained = rows.coalesce(1).mapInPandas(run, "net binary").collect() if not rows.isEmpty() else []
+    return pickle.loads(bytes(trained[0]["net"])) if trained else None
 
 
 def score(documents: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:

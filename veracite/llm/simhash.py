@@ -187,9 +187,8 @@ def wide_links(nodes: DataFrame, size: int, similarity: float, block_bits: int,
     blocks = bits // block_bits
     values = F.array(*[block_value(F.col("fp"), k, block_bits) for k in range(blocks)])
     keys = nodes.select("rep", F.col("fp")[0].alias("c0"), F.col("fp")[size - 1].alias("c1"), F.posexplode(values).alias("block", "value"))
-    sizes = keys.groupBy("block", "value").agg(F.count("*").alias("n"), F.min("rep").alias("lead"))
-    several, large = sizes.where(F.col("n").between(2, cap)), sizes.where(F.col("n") > cap)
-    small = keys.join(several.select("block", "value"), ["block", "value"], "left_semi")
+    large = keys.groupBy("block", "value").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where(F.col("n") > cap)
+    small = keys.join(large.select("block", "value"), ["block", "value"], "left_anti")
     a, b = small.alias("a"), small.alias("b")
     rough_near = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1"))) <= rough
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")) & rough_near)

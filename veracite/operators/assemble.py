@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import url
 from ..functions.excerpt import excerpts_udf, merge_evidence_udf
@@ -57,22 +58,28 @@ def assemble(reads: DataFrame, taken: str = "attempted") -> DataFrame:
     return grouped.withColumn("verdict", F.when((F.col("judged") == "unsupported") & F.col("moved"), F.lit("unreachable")).otherwise(F.col("judged")))
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """Keep a table that several branches read, and cut its plan; lost parts are computed again."""
+    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def judge(reads: DataFrame) -> DataFrame:
     """Climb, assemble, and climb on for the URLs judged unsupported with a rung left: one row per URL with a read.
 
     ``reads`` has signals for every rung at hand.
     """
+    reads = kept(reads)
     climbed = attempted(reads)
     available = reads.groupBy("url").agg(F.collect_set("rung").alias("rungs_available"))
     first = assemble(climbed).join(available, "url")
     pdf = url.is_pdf(F.col("url"))
     again = (F.col("judged") == "unsupported") & has_untried_rung(F.col("rungs_attempted"), F.col("rungs_available"), pdf)
-    marked = first.withColumn("escalated", again)
+    marked = kept(first.withColumn("escalated", again))
     more = attempted(reads, exhaustive=True).join(marked.where("escalated").select("url"), "url", "left_semi")
     second = assemble(more).join(available, "url").withColumn("escalated", F.lit(True))
     out = marked.where(~F.col("escalated")).unionByName(second)
     won = F.col("won")
-    return out.withColumns(
+    return kept(out).withColumns(
         {
             "ladder_truncated": ladder_truncated(F.col("rungs_available"), pdf),
             "missed": F.when(F.col("verdict") == "unsupported", F.col("missed_all")).otherwise(F.array().cast("array<string>")),

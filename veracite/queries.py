@@ -369,7 +369,7 @@ def archive_blobs(spark, sf_dir):
 def _archive(spark, sf_dir):
     """The archive of the first run, with a changed claims hash for every 13th page and an older tool for every 17th."""
     reads = ladder.attempted(signalled_reads(spark, sf_dir))
-    made = archive.entries(reads, assemble.judge(signalled_reads(spark, sf_dir)), "1.0", F.lit("2026-01-01T00:00:00Z"))
+    made = assemble.kept(archive.entries(reads, _judged(spark, sf_dir), "1.0", F.lit("2026-01-01T00:00:00Z")))
     numbered = made.join(table(spark, sf_dir, "pages").select("url", "page_id"), "url")
     changed = numbered.withColumn("claims_hash", F.when(F.col("page_id") % 13 == 0, F.lit("other")).otherwise(F.col("claims_hash")))
     return changed.withColumn("tool_version", F.when(F.col("page_id") % 17 == 0, F.lit("0.9")).otherwise(F.col("tool_version")))
@@ -382,7 +382,7 @@ def _archive(spark, sf_dir):
 def archive_merge(spark, sf_dir):
     """Merge a second run into the archive: only materially changed rows are replaced."""
     reads = ladder.attempted(signalled_reads(spark, sf_dir))
-    staged = archive.entries(reads, assemble.judge(signalled_reads(spark, sf_dir)), "1.0", F.lit("2026-02-02"))
+    staged = archive.entries(reads, _judged(spark, sf_dir), "1.0", F.lit("2026-02-02"))
     old = _archive(spark, sf_dir).drop("page_id")
     return archive.merge(old, staged.select(old.columns)).select("key", "archived_at")
 

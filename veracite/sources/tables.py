@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.extract import body_text
 from ..operators.signals import with_signals
@@ -51,4 +52,4 @@ def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signalled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_signals(raw_reads(spark, sf_dir))
+    return with_signals(raw_reads(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)

@@ -82,7 +82,9 @@ def test_empty_tables(name, docs):
     assert RUNS[name](docs.where("doc_id < 0")).count() == 0
 
 
-def test_substrings_match_brute_force(docs, texts):
+@pytest.mark.parametrize("hot_count", [2, 24])
+def test_substrings_match_brute_force(docs, texts, monkeypatch, hot_count):
+    monkeypatch.setattr(substrings, "HOT_COUNT", hot_count)  # at 2 every repeated anchor is in the automaton's shard
     got = {r["doc_id"]: r for r in substrings.dedup(docs).collect()}
     count = collections.Counter()
     for t in texts.values():

@@ -328,12 +328,15 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = checkpointed(text_anchors(rows, window).join(spare, "row", "left_anti").dropDuplicates(["row"]))
     single = found.select("row", F.explode("anchors").alias("anchor"))
     counts = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = single.join(counts.select("anchor"), "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     frequent = counts.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).select("anchor")
     hot = single.join(F.broadcast(frequent), "anchor").groupBy("anchor").agg(F.min("row").alias("row"))
     hot_rows = hot.collect()  # at most HOT_ANCHORS
     spark = documents.sparkSession
     bounded = spark.createDataFrame([(r["anchor"], r["row"]) for r in hot_rows], "anchor long, row long")
+    # the most frequent anchors are known by now and need no shuffle, so none of them gathers its rows in one task
+    top = F.broadcast(bounded.select("anchor"))
+    rest = single.join(top, "anchor", "left_anti").join(counts.select("anchor"), "anchor", "left_semi")
+    repeated = rest.unionByName(single.join(top, "anchor", "left_semi").select(rest.columns)).groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     reference = Automaton(reference_passages(rows, bounded, window) if hot_rows else [])
     shared = spark.sparkContext.broadcast((reference, np.array([r["anchor"] for r in hot_rows], np.int64)))
 

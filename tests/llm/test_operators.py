@@ -342,3 +342,38 @@ def test_classifiers_learn(spark):
     assert np.mean([good[i] == truth[i][0] for i in fold]) > 0.95
     assert np.mean([toxic[i] == truth[i][1] for i in fold]) > 0.9
     assert quality.fit(docs, known.where("quality = 1"), held) is None and toxicity.fit(docs, known.where("doc_id < 0"), held) is None
+
+
+def test_wide_groups_find_every_pair_of_the_stated_similarity(spark):
+    """Pairs from 0.76 to 0.90, large and very small texts, against the exact Jaccard similarity."""
+    r = random.Random(17)
+    texts = {}
+    for k in range(600):
+        n = r.choice([8, 9, 10, 14, 24, 80, 274])
+        base = [f"p{k}x{i}" for i in range(n)]
+        shared, goal = n - 4, r.uniform(0.76, 0.90)
+        other = list(base)
+        cut = min(round(shared * (1 - goal)), shared - 1)
+        other = base[:-cut] if cut and k % 2 else [*base[: n - cut // 2], *[f"q{k}x{i}" for i in range(cut // 2)]]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(other)
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for d, w in ((d, t.split()) for d, t in texts.items())}
+    want = {2 * k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(600)}
+    assert sum(0.8 <= j < 0.83 for j in want.values()) > 50 and sum(j < 0.8 for j in want.values()) > 50
+    got = {x["doc_id"]: x["component_id"] for x in simhash.wide_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {d: got[d + 1] == got[d] == d for d in want} == {d: j >= 0.8 for d, j in want.items()}
+
+
+@pytest.mark.parametrize("cap", [1, 64])
+def test_wide_groups_of_many_near_copies_match_brute_force(spark, cap):
+    r = random.Random(23)
+    base = words(120, 31)
+    texts = {}
+    for d in range(90):
+        w = list(base)
+        for _ in range(r.randrange(5)):
+            w[r.randrange(120)] = f"e{r.randrange(10**6)}"
+        texts[d] = " ".join(w)
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in texts.items())}
+    root = closure(list(texts), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.wide_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), cap=cap).collect()}
+    assert got == root and len(set(root.values())) > 1

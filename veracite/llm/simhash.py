@@ -12,13 +12,19 @@ linked through the points of their radius-1 balls, two fingerprints being within
 the work is linear in the members.
 
 ``wide_groups`` (many words of 64 bits) finds texts of a shingle similarity of
-at least ``similarity``: the expected share of differing bits of two texts with
-Jaccard similarity J is acos(2J / (1 + J)) / pi, which bounds the Hamming
-distance. Each block of ``block_bits`` bits is one join key. With 64 blocks of
-18 bits a pair at J = 0.8 shares a block with a chance of 0.97, at J = 0.85 of
-0.996. In buckets above ``cap`` members each one is compared with the bucket's
-first, and only those that differ from it with all others; pairs whose both
-sides are linked to the first need no further link.
+at least ``similarity``. Its fingerprints are majorities over the distinct shingles;
+the expected share of differing bits of two texts with Jaccard similarity J is
+acos(2J / (1 + J)) / pi. Each block of ``block_bits`` bits is one join key; the bits
+are shuffled and cut into blocks ``ROUNDS`` times, so that a pair at 0.8 meets with a
+chance above 0.999. Texts of few shingles, whose bits differ more often, also meet on
+their smallest shingle hashes, of which two such texts share one for certain. Pairs
+that meet are sifted by two words of their fingerprints, with a margin, and then
+decided by the exact Jaccard similarity of their shingle hashes.
+
+A member of a bucket is first compared with the first one near it only. Pairs that
+are in one component by then need no link; all others that met are compared next, so
+a group of many near copies is linked by few comparisons, and the components
+are those of all pairs.
 
 Cases: null and empty texts have the fingerprint zero and are linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are
@@ -33,15 +39,18 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, map_texts, sliced
 from .graph import components
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
 PART = 1 << 18
+ROUNDS = 3
+FEW_SHINGLES = 20
 
 
 def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
@@ -158,61 +167,192 @@ def groups(documents: DataFrame, words: int = 3, distance: int = 2, id_col: str
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def differing(a: Column, b: Column, size: int) -> Column:
-    total = F.bit_count(a[0].bitwiseXOR(b[0]))
-    for k in range(1, size):
-        total = total + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return total
+def allowed_bits(similarity: float, bits: int) -> int:
+    """Most differing bits of two shingle sets of this Jaccard similarity: the mean, a quarter more for small sets, and four deviations."""
+    rate = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * rate + 4 * math.sqrt(bits * rate * (1 - rate)))
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
-    """Expected differing bits of two shingle sets of this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def distinct_shingles(text: str, words: int) -> np.ndarray:
+    parts = [np.unique(h) for h in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles; it names the node of all texts with this set."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
 
+def wide_prints(documents: DataFrame, words: int, similarity: float, size: int, id_col: str, text_col: str, id_type: str) -> DataFrame:
+    """One row (id, text_hash, node, fp array of longs, low array of longs) per input row.
 
-def block_value(fp: Column, block: int, width: int) -> Column:
-    """Bits [block * width, (block + 1) * width) of a wide fingerprint as a long."""
-    word, shift = divmod(block * width, 64)
-    value = F.shiftrightunsigned(fp[word], shift)
-    if shift + width > 64:
-        value = value.bitwiseOR(F.shiftleft(fp[word + 1], 64 - shift))
-    return value.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    ``text_hash`` is Spark's xxhash64 of the text, ``low`` the smallest hashes of a small set.
+    """
+    from xxhash import xxh64_intdigest
+
+    def wide(shingles: np.ndarray) -> np.ndarray:
+        counts = np.stack([bit_counts(mixed(shingles, j)) for j in range(size)])
+        return np.packbits((counts * 2 > len(shingles)).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
+
+    def low(shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        return shingles[: n - math.ceil(similarity * n - 1e-9) + 1 if 0 < n <= FEW_SHINGLES else 0].view(np.int64)
+
+    def run(batches: Iterator[tuple[list, list]]) -> Iterator[dict]:
+        for ids, texts in batches:
+            sets = [distinct_shingles(t, words) for t in texts]
+            hashes = np.array([xxh64_intdigest(t.encode("utf-8", "replace"), SEED) for t in texts], np.uint64).view(np.int64)
+            yield {id_col: ids, "text_hash": hashes, "node": [set_name(s) for s in sets], "fp": [wide(s) for s in sets], "low": [low(s) for s in sets]}
 
+    return map_texts(documents, id_col, text_col, run, f"{id_col} {id_type}, text_hash long, node long, fp array<long>, low array<long>")
 
-def wide_links(nodes: DataFrame, size: int, similarity: float, block_bits: int, cap: int) -> DataFrame:
-    """Links (u, v) between nodes (rep, fp array, n) of at least ``similarity``; see the module's text."""
-    bits = size * 64
-    bound = allowed_bits(similarity, bits)
-    rough = round(128 * bound / bits + 3.5 * math.sqrt(128 * bound / bits * (1 - bound / bits)))
+
+def block_picks(bits: int, block_bits: int) -> np.ndarray:
+    """The bits of each block; the blocks of one round don't overlap."""
+    r = np.random.default_rng(SEED)
     blocks = bits // block_bits
-    values = F.array(*[block_value(F.col("fp"), k, block_bits) for k in range(blocks)])
-    keys = nodes.select("rep", F.col("fp")[0].alias("c0"), F.col("fp")[size - 1].alias("c1"), F.posexplode(values).alias("block", "value"))
-    large = keys.groupBy("block", "value").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where(F.col("n") > cap)
-    small = keys.join(large.select("block", "value"), ["block", "value"], "left_anti")
-    a, b = small.alias("a"), small.alias("b")
-    rough_near = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1"))) <= rough
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")) & rough_near)
-    pairs = pairs.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
-    full = nodes.select("rep", "fp")
-    pairs = pairs.join(full.withColumnsRenamed({"rep": "u", "fp": "fu"}), "u").join(full.withColumnsRenamed({"rep": "v", "fp": "fv"}), "v")
-    pairs = pairs.where(differing(F.col("fu"), F.col("fv"), size) <= bound).select("u", "v")
-    crowded = checkpointed(keys.select("block", "value", "rep").join(large.select("block", "value", "lead"), ["block", "value"]))
-    crowded = crowded.join(full, "rep").join(full.withColumnsRenamed({"rep": "lead", "fp": "lead_fp"}), "lead")
-    crowded = crowded.withColumn("linked", differing(F.col("fp"), F.col("lead_fp"), size) <= bound)
-    star = crowded.where("linked and rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
-    rest, everyone = crowded.where("not linked").alias("r"), crowded.alias("e")
-    others = rest.join(
-        everyone,
-        (F.col("r.block") == F.col("e.block")) & (F.col("r.value") == F.col("e.value")) & (F.col("r.rep") != F.col("e.rep"))
-        & (differing(F.col("r.fp"), F.col("e.fp"), size) <= bound),
-    ).select(F.col("r.rep").alias("u"), F.col("e.rep").alias("v"))
-    return pairs.unionByName(star).unionByName(others)
+    return np.concatenate([r.permutation(bits)[: blocks * block_bits].reshape(blocks, block_bits) for _ in range(ROUNDS)])
+
+
+def block_keys(nodes: DataFrame, size: int, block_bits: int) -> DataFrame:
+    """(key, node, c0, c1) per node and block, and per smallest hash of a small set."""
+    picks = block_picks(size * 64, block_bits)
+    powers = (1 << np.arange(block_bits)).astype(np.int32)
+    tops = np.arange(len(picks), dtype=np.int64) << block_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 256):
+            n = batch.num_rows
+            if not n:
+                continue
+            fp = batch.column("fp").flatten().to_numpy().reshape(n, size)
+            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").astype(np.int32)
+            values = np.stack([bits[:, p] @ powers for p in picks], axis=1) + tops
+            lows = batch.column("low")
+            more = lows.flatten().to_numpy() & np.int64((1 << 62) - 1) | np.int64(1 << 62)
+            which = np.concatenate([np.repeat(np.arange(n), len(picks)), np.repeat(np.arange(n), lows.value_lengths().to_numpy())])
+            node = batch.column("node").to_numpy()
+            columns = [np.concatenate([values.ravel(), more]), node[which], fp[which, 0], fp[which, size - 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "c0", "c1"])
+
+    return nodes.select("node", "fp", "low").mapInArrow(run, "key long, node long, c0 long, c1 long")
+
+
+def bucket_leads(key: np.ndarray, node: np.ndarray, c0: np.ndarray, c1: np.ndarray, rough: int, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, first, lead) of the members, sorted by key, that are near another of their bucket: its first row, and the first row near the member.
+
+    Of a bucket above ``cap`` all members, each with one of its leads near it.
+    """
+    n = len(key)
+    c0, c1 = c0.view(np.uint64), c1.view(np.uint64)  # bits of signed numbers are counted without the sign
+    near = lambda i, j: np.bitwise_count(c0[i] ^ c0[j]).astype(np.int64) + np.bitwise_count(c1[i] ^ c1[j]) <= rough
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    sizes = np.diff(np.concatenate([starts, [n]]))
+    first, met = np.repeat(starts, sizes), np.repeat(sizes > cap, sizes)
+    lead = np.arange(n)
+    i, d = np.flatnonzero(~met), 1
+    while True:
+        i = i[i + d < n]
+        i = i[first[i] == first[i + d]]
+        if not len(i):
+            break
+        close = i[near(i, i + d)]
+        met[close] = met[close + d] = True
+        lead[close + d] = close  # a larger d comes later: the earliest stays
+        d += 1
+    for k in np.flatnonzero(sizes > cap):
+        rest = np.arange(starts[k], starts[k] + sizes[k])
+        while len(rest):
+            close = near(rest, rest[0])
+            lead[rest[close]] = rest[0]
+            rest = rest[1:][~close[1:]]
+    rows = np.flatnonzero(met)
+    return rows, node[first[rows]], node[lead[rows]]
+
+
+def meetings(keys: DataFrame, rough: int, cap: int) -> DataFrame:
+    """(key, first, lead, node, c0, c1) of the members of buckets that are near another one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+
+        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+            rows, first, lead = bucket_leads(*cols, rough, cap)
+            out = [cols[0][rows], first, lead, cols[1][rows], cols[2][rows], cols[3][rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "first", "lead", "node", "c0", "c1"])
+
+        waiting = []  # batches since the last whole bucket
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(4)]
+            if not len(cols[0]):
+                continue
+            waiting.append(cols)
+            if len(held[0]) and cols[0][-1] == held[0][0]:
+                continue
+            cols = [np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            held, waiting = [c[cut:] for c in cols], []
+            if cut:
+                yield found([c[:cut] for c in cols])
+        cols = [np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)]
+        if len(cols[0]):
+            yield found(cols)
+
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, first long, lead long, node long, c0 long, c1 long")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of rows (node, text) whose text has the node's set; an id may have other texts too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            nodes, sets = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles = distinct_shingles(text or "", words)
+                if set_name(shingles) == node:
+                    nodes.append(node)
+                    sets.append(shingles.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have at least this Jaccard similarity."""
+    named = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+    both = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(named("u"), "u").join(named("v"), "v")
+    shared, total = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
+    return both.where(shared / (total - shared) >= similarity).select("u", "v")
+
+
+def wide_components(met: DataFrame, sets: DataFrame, similarity: float, rough: int) -> DataFrame:
+    """(node, component) of the nodes that are similar to another; see the module's text."""
+    links = checkpointed(similar(met.where("lead <> node").select(F.col("lead").alias("u"), F.col("node").alias("v")), sets, similarity))
+    roots = components(links)
+    named = lambda side: roots.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))
+    placed = met.join(named("node"), "node", "left").join(named("first"), "first", "left")
+    placed = checkpointed(placed.select("key", "node", "c0", "c1", F.coalesce("node_root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root")))
+    a, b = placed.where("root <> first_root").alias("a"), placed.alias("b")
+    near = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1"))) <= rough
+    others = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & near)
+    more = checkpointed(similar(others.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets, similarity))
+    return components(links.unionByName(more)) if more.take(1) else roots
 
 
 def wide_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 18, block_bits: int = 18, cap: int = 64, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
-    """One row (id, component_id) per input row; components of links of at least ``similarity``."""
-    prints = checkpointed(fingerprints(documents, words, size, id_col, text_col, id_type))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("rep")).where("rep is not null"))
-    roots = components(wide_links(nodes, size, similarity, block_bits, cap))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select(id_col, "fp").join(named, "fp", "left").select(id_col, "component_id")
+    """One row (id, text_hash, root, component_id) per input row; components of texts of at least ``similarity``.
+
+    ``root`` names the component, also where ids repeat with other texts; ``component_id`` is its smallest id.
+    """
+    prints = checkpointed(wide_prints(documents, words, similarity, size, id_col, text_col, id_type))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min(id_col).alias("rep"), F.first("fp").alias("fp"), F.first("low").alias("low")).where("rep is not null"))
+    rough = allowed_bits(similarity, 128)
+    met = checkpointed(meetings(block_keys(nodes, size, block_bits), rough, 8 * cap))
+    wanted = met.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    texts = documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    roots = wide_components(met, checkpointed(shingle_sets(texts, words)), similarity, rough)
+    named = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.select(id_col, "text_hash", "node").join(named.select("node", "root").join(names, "root"), "node", "left").select(id_col, "text_hash", "root", "component_id")

@@ -377,3 +377,15 @@ def test_wide_groups_of_many_near_copies_match_brute_force(spark, cap):
     root = closure(list(texts), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
     got = {x["doc_id"]: x["component_id"] for x in simhash.wide_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), cap=cap).collect()}
     assert got == root and len(set(root.values())) > 1
+
+
+
+def test_spotsigs_count_of_anchors_does_not_change_the_kind_of_set(spark):
+    """Few anchors in a long text, and an edited end with many: what stands before the edit stays alike."""
+    start = [f"s{i}" for i in range(150)]
+    start[20:20] = ["the"]
+    end = " ".join(f"the e{i} f{i}" for i in range(40))
+    texts = {0: " ".join(start), 1: " ".join(start) + " " + end}
+    got = {r["doc_id"]: set(r["signatures"]) for r in spotsigs.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(got[0]) > 100 and len(got[0] - got[1]) <= 2
+    assert len(got[1] - got[0]) <= 45

@@ -2,8 +2,9 @@
 
 A signature is an anchor (a very common word) with the chain of the next
 ``CHAIN`` content words after it; anchors themselves are never part of a chain.
-In a text with fewer than ``FEW`` such signatures every word counts as an anchor, so
-that lists and very short texts have fingerprints too. A document's fingerprint is the set of its signatures' 32-bit hashes, written as
+Where none of the last ``FEW`` content words follows an anchor, the word before counts
+as one, so that lists and very short texts have fingerprints too; as only the words
+just before decide, an edit changes no signatures far from it. A document's fingerprint is the set of its signatures' 32-bit hashes, written as
 sorted hexadecimal numbers. Likeness is the Jaccard coefficient of two sets.
 
 ``near_duplicates`` compares sets by length partitions: with likeness at least t
@@ -62,20 +63,18 @@ def _spots(words: Column) -> Column:
     return F.filter(F.transform(words, spot), lambda s: s.isNotNull())
 
 
-def _chains(content: Column, anchored: bool) -> Column:
+def _chosen(content: Column) -> Column:
+    """The chains that are anchored, or lie in a stretch without anchors."""
+
     def chain(s: Column, i: Column) -> Column:
         hashed = F.xxhash64(s["before"], *[F.get(content, i + k)["w"] for k in range(CHAIN)])
-        whole = i + (CHAIN - 1) < F.size(content)
-        return F.when(s["anchored"] & whole if anchored else whole, hashed.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+        last = F.slice(content, F.greatest(i - (FEW - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(FEW)))
+        counts = s["anchored"] | ~F.exists(last, lambda t: t["anchored"])
+        return F.when((i + (CHAIN - 1) < F.size(content)) & counts, hashed.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
 
     return F.array_sort(F.array_distinct(F.filter(F.transform(content, chain), lambda c: c.isNotNull())))
 
 
-def _chosen(content: Column) -> Column:
-    """The anchored chains; all chains, which hold the anchored ones, where those are few."""
-    return let(_chains(content, True), lambda found: F.when(F.size(found) >= FEW, found).otherwise(_chains(content, False)))
-
-
 def signatures(text: Column) -> Column:
     """Sorted set of signature hashes (ints) of a text column; never null or empty."""
     own = F.xxhash64(F.lit("whole"), text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")

@@ -379,6 +379,21 @@ def test_wide_groups_of_many_near_copies_match_brute_force(spark, cap):
     assert got == root and len(set(root.values())) > 1
 
 
+def test_packing_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = {0: "a <|endoftext|> b", 1: "<|endoftext|>", 2: "x.<|endoftext|><|endoftext|>\n y<|endoftext|", 3: "A<|ENDOFTEXT|> <|endoftext|>  two\n\n  <|endoftext|>z"}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path).collect()
+    for d, t in texts.items():
+        want = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        pieces_of = sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["start"])
+        assert sum(r["length"] for r in pieces_of) == len(want) and 50256 in want
+        for r in pieces_of:
+            piece = want[r["start"] : r["start"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(np.array(piece, "<u4").tobytes()) and r["doc_tokens"] == len(want)
+
 
 def test_spotsigs_count_of_anchors_does_not_change_the_kind_of_set(spark):
     """Few anchors in a long text, and an edited end with many: what stands before the edit stays alike."""

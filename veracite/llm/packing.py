@@ -47,6 +47,7 @@ def encoder(path: str):
 
     The vocabulary is read from ``path``; the merge loop runs in tiktoken, which
     yields the ids of the tokenizers library several times faster (tests hold the two together).
+    Texts are split at the file's added tokens, which keep the file's ids.
     """
     import json
 
@@ -56,13 +57,16 @@ def encoder(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     to_byte = {c: b for b, c in byte_symbols().items()}
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    added = spec.get("added_tokens", ())
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens must match as they stand")
+    special = {t["content"]: t["id"] for t in added}
     ids = {bytes(to_byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
     order = sorted(ids.values())
     if order != list(range(len(order))):
         raise ValueError("the vocabulary's ids must be its merge ranks")
-    enc = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={})
-    ends = np.zeros(max(order) + 2, bool)
+    enc = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens=special)
+    ends = np.zeros(max([*order, END_ID, *special.values()]) + 1, bool)
     for token, i in ids.items():
         ends[i] = b"\n" in token or token.rstrip()[-1:] in (b".", b"!", b"?")
     return enc, ends
@@ -176,7 +180,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
         def tokenized() -> Iterator[tuple[object, np.ndarray]]:
             for ids, texts in batches:
                 for doc, text in zip(ids, texts, strict=True):
-                    tokens = enc.encode_ordinary(text)
+                    tokens = enc.encode(text, allowed_special="all")
                     tokens.append(end_id)
                     yield doc, np.array(tokens, np.int64)
 

@@ -68,3 +68,12 @@ def test_stages(spark, folder):
 def test_run_chains_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() >= 230
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """An id with two texts: the near copy of another row goes, the distinct text stays."""
+    one, other = " ".join(words(80, 920)), " ".join(words(80, 921))
+    rows = [(1, one, "en", "s", 0), (2, one + " end", "en", "s", 0), (2, other, "en", "s", 0), (2, other, "en", "s", 0), (None, one, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([(0, one), (1, one), (2, other)])

@@ -117,8 +117,14 @@ def test_excerpts():
     assert excerpt.excerpt(body, "total was $6.5bn in all") == chr(0x2026) + "The total was $6.5bn in all of 2024, they said." + chr(0x2026)
     assert excerpt.excerpt(body, "not in there at all") is None
     assert excerpt.excerpt("", "x") is None
-    merged = excerpt.merge_evidence([{"claims": ["a"], "excerpt": "one two three", "rung": "n"}, {"claims": ["b"], "excerpt": "two three", "rung": "n"}, {"claims": ["c"], "excerpt": None, "rung": "n"}])
-    assert [m["claims"] for m in merged] == [["a", "b"], ["c"]]
+
+
+def test_evidence_is_merged_in_order(spark):
+    shown = [("a", "one two three", "n"), ("b", chr(0x2026) + "two three", "n"), ("c", None, "n"), ("d", "zero one two three four", "m"), ("e", "five six", "m"), ("f", None, "m")]
+    df = spark.createDataFrame([(shown,)], "shown array<struct<claim:string,excerpt:string,rung:string>>")
+    merged = df.select(excerpt.merged_evidence(F.col("shown")).alias("m")).first()["m"]
+    assert [m["claims"] for m in merged] == [["a", "b", "d"], ["c"], ["e"], ["f"]]
+    assert merged[0]["excerpt"] == "zero one two three four" and merged[0]["rung"] == "n" and merged[1]["excerpt"] is None
 
 
 def test_spans_snap_to_words():

@@ -7,10 +7,13 @@ splitting at the entity pattern and joining the pieces with decoded matches.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..thresholds import MAX_DESCRIPTION_REGIONS, THRESHOLDS
+from .bind import let
 from .text import WS, collapse_ws, trim_ws
 
 # Named entities and their code points. ``amp`` is decoded last, apart.
@@ -55,8 +58,8 @@ HEAD_MARKER = (
 )
 
 
-def _replace_matches(text: Column, pattern: str, decode) -> Column:
-    """Replace every match in one pass; ``decode`` maps the whole match to its replacement."""
+def _replace_matches(pattern: str, decode, text: Column) -> Column:
+    """Replace every match in one pass; ``decode`` maps the whole match to its replacement. ``text`` must be a bound value."""
     parts = F.split(text, pattern, -1)
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), decode)
     joined = F.array_join(F.zip_with(parts, found, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
@@ -81,12 +84,24 @@ def _known(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(table, raw), raw)
 
 
+ENTITY_STEPS = (
+    ("&[a-zA-Z][a-zA-Z0-9]{1,31};", lambda m: _known(m)),
+    ("&#[xX][0-9a-fA-F]+;", lambda m: _character(_number(F.regexp_extract(m, "([0-9a-fA-F]+);", 1), 16), m)),
+    ("&#[0-9]+;", lambda m: _character(_number(F.regexp_extract(m, "([0-9]+);", 1), 10), m)),
+)
+
+
+def decoded(text: Column) -> Column:
+    """Entities decoded in passes (named, hexadecimal, decimal, then ``&amp;``); each pass sees a bound value."""
+    out = text
+    for step in ENTITY_STEPS:
+        out = let(out, partial(_replace_matches, *step))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
 def finish(text: Column) -> Column:
-    """Decode entities (named, hexadecimal, decimal, then ``&amp;``), collapse and trim white space."""
-    out = _replace_matches(text, "&[a-zA-Z][a-zA-Z0-9]{1,31};", _known)
-    out = _replace_matches(out, "&#[xX][0-9a-fA-F]+;", lambda m: _character(_number(F.regexp_extract(m, "([0-9a-fA-F]+);", 1), 16), m))
-    out = _replace_matches(out, "&#[0-9]+;", lambda m: _character(_number(F.regexp_extract(m, "([0-9]+);", 1), 10), m))
-    return collapse_ws(F.replace(out, F.lit("&amp;"), F.lit("&")))
+    """Decode entities where there are any, collapse and trim white space."""
+    return collapse_ws(let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t)))
 
 
 def strip_code(html: Column) -> Column:
@@ -111,24 +126,27 @@ def tags(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TAG), F.lit(1))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of the first attribute of this name, null where there is none."""
-    inner = F.expr("substring(x, 2, length(x) - 2)") if tag is None else tag.substr(F.lit(2), F.length(tag) - 2)
+def attribute(attributes: Column, *names: str) -> Column:
+    """Value of the first attribute of one of these names, null where there is none."""
+    return F.get(F.filter(attributes, lambda p: p["n"].isin(*names)), 0)["v"]
+
+
+def attributes(tag: Column) -> Column:
+    """The (name in lower case, value) pairs of a tag."""
+    inner = tag.substr(F.lit(2), F.length(tag) - 2)
     names = F.transform(F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(3))
-    pairs = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda p: p["n"] == name)
-    return F.get(pairs, 0)["v"]
+    return F.arrays_zip(names.alias("n"), F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(3)).alias("v"))
 
 
 def description_values(html: Column) -> Column:
     """Distinct raw description contents in document order, at most eight."""
     metas = F.filter(tags(_inert_stripped(html)), lambda t: t.rlike(r"(?i)^<meta(?![A-Za-z0-9_])"))
 
-    def described(tag: Column) -> Column:
-        named = lambda a: F.coalesce(F.lower(trim_ws(attribute(tag, a))).isin(*DESCRIPTION_NAMES), F.lit(False))
-        return F.when(named("name") | named("property"), trim_ws(attribute(tag, "content")))
+    def described(pairs: Column) -> Column:
+        named = lambda a: F.coalesce(F.lower(trim_ws(attribute(pairs, a))).isin(*DESCRIPTION_NAMES), F.lit(False))
+        return F.when(named("name") | named("property"), trim_ws(attribute(pairs, "content")))
 
-    values = F.filter(F.transform(metas, described), lambda v: v.isNotNull() & (v != ""))
+    values = F.filter(F.transform(F.transform(metas, attributes), described), lambda v: v.isNotNull() & (v != ""))
     return F.slice(F.array_distinct(values), 1, MAX_DESCRIPTION_REGIONS)
 
 
@@ -147,9 +165,11 @@ def regions(raw_body: Column, body_kind: Column) -> Column:
 
 
 def looks_binary(raw_body: Column) -> Column:
-    sample = F.substring(raw_body, 1, THRESHOLDS.binary_sample_code_points)
-    bad = F.length(sample) - F.length(F.regexp_replace(sample, r"[\x{FFFD}\x00-\x08\x0E-\x1F]", ""))
-    return F.when(F.length(sample) > 0, bad / F.length(sample) > THRESHOLDS.max_binary_density).otherwise(F.lit(False))
+    def dense(sample: Column) -> Column:
+        bad = F.length(sample) - F.length(F.regexp_replace(sample, r"[\x{FFFD}\x00-\x08\x0E-\x1F]", ""))
+        return F.when(F.length(sample) > 0, bad / F.length(sample) > THRESHOLDS.max_binary_density).otherwise(F.lit(False))
+
+    return let(F.substring(raw_body, 1, THRESHOLDS.binary_sample_code_points), dense)
 
 
 def head_markers(raw_body: Column) -> Column:

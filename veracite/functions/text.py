@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 #: White space as ECMAScript regular expressions define it; Java's \s is ASCII only.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -82,7 +84,9 @@ def content_words(text: Column) -> Column:
 
 def slug_label_overlap(text: Column, path: Column, label: Column) -> Column:
     """Share of the content words of path and label that the text holds; 0 where there are none."""
-    words = content_words(F.concat_ws(" ", path, label))
-    body = F.lower(text)
-    hits = F.size(F.filter(words, lambda w: F.contains(body, w)))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(hits / F.size(words))
+
+    def share(words: Column) -> Column:
+        hits = let(F.lower(text), lambda body: F.size(F.filter(words, lambda w: F.contains(body, w))))
+        return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(hits / F.size(words))
+
+    return let(content_words(F.concat_ws(" ", path, label)), share)

@@ -10,13 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]*@)?([^/?#@:\s]+|\[[^\]]*\])(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?(#[\s\S]*)?\z"
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|s_cid)\z"
 CREDENTIALS = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*@"
 
 
-def part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, PARTS, group)
+FIELDS = ("scheme", "user", "host", "port", "path", "query", "fragment")
+
+
+def parts(url: Column) -> Column:
+    """The fields of a URL as a struct, empty where missing; null where it cannot be parsed."""
+    return F.when(url.rlike(PARTS), F.struct(*[F.regexp_extract(url, PARTS, i + 1).alias(name) for i, name in enumerate(FIELDS)]))
 
 
 def is_url(url: Column) -> Column:
@@ -24,29 +30,41 @@ def is_url(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.when(is_url(url), F.lower(part(url, 3)))
+    return F.when(is_url(url), F.lower(F.regexp_extract(url, PARTS, 3)))
+
+
+def _path(p: Column) -> Column:
+    return F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
 
 
 def pathname(url: Column) -> Column:
     """The path, at least ``/``; the whole string where it is no URL."""
-    path = part(url, 5)
-    return F.when(~is_url(url), url).when(path == "", F.lit("/")).otherwise(path)
+    return F.when(url.isNotNull(), let(parts(url), lambda p: F.when(p.isNull(), url).otherwise(_path(p))))
+
+
+def _search(query: Column) -> Column:
+    """The query without tracking parameters; as it stands where it has none."""
+    tracked = lambda q: F.substring_index(q, "=", 1).rlike(TRACKING)
+
+    def cleaned(pairs: Column) -> Column:
+        kept = F.transform(F.filter(pairs, lambda q: (q != "") & ~tracked(q)), lambda q: F.when(F.contains(q, F.lit("=")), q).otherwise(F.concat(q, F.lit("="))))
+        rest = let(F.array_join(kept, "&"), lambda k: F.when(k == "", F.lit("")).otherwise(F.concat(F.lit("?"), k)))
+        return F.when(F.exists(pairs, tracked), rest).otherwise(query)
+
+    return F.when(F.length(query) < 2, query).otherwise(let(F.split(F.substring(query, 2, 1 << 30), "&"), cleaned))
+
+
+def _normalized(p: Column) -> Column:
+    scheme = F.lower(p["scheme"])
+    default = ((scheme == "https") & (p["port"] == "443")) | ((scheme == "http") & (p["port"] == "80"))
+    port = F.when((p["port"] == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), p["port"]))
+    authority = F.concat(scheme, F.lit("://"), p["user"], F.lower(p["host"]), port)
+    bare = lambda search: (_path(p) == "/") & (search == "") & (p["fragment"] == "")
+    return let(_search(p["query"]), lambda search: F.when(bare(search), authority).otherwise(F.concat(authority, _path(p), search, p["fragment"])))
 
 
 def normalize_url(url: Column) -> Column:
-    scheme, user, host, port = F.lower(part(url, 1)), part(url, 2), F.lower(part(url, 3)), part(url, 4)
-    path = F.when(part(url, 5) == "", F.lit("/")).otherwise(part(url, 5))
-    query, fragment = part(url, 6), part(url, 7)
-    default = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
-    pairs = F.split(F.substring(query, 2, 1 << 30), "&")
-    tracked = lambda p: F.substring_index(p, "=", 1).rlike(TRACKING)
-    kept = F.transform(F.filter(pairs, lambda p: (p != "") & ~tracked(p)), lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    cleaned = F.when(F.size(kept) == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(kept, "&")))
-    search = F.when(F.exists(pairs, tracked), cleaned).when(query == "?", F.lit("?")).otherwise(query)
-    authority = F.concat(scheme, F.lit("://"), user, host, F.when((port == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
-    bare = (path == "/") & search.isin("", "?") & fragment.isin("", "#")
-    whole = F.concat(authority, path, search, fragment)
-    return F.when(~is_url(url), url).when(bare & (search == "") & (fragment == ""), authority).otherwise(whole)
+    return F.when(url.isNotNull(), let(parts(url), lambda p: F.when(p.isNull(), url).otherwise(_normalized(p))))
 
 
 def has_credentials(url: Column) -> Column:
@@ -54,19 +72,21 @@ def has_credentials(url: Column) -> Column:
 
 
 def norm_path(url: Column) -> Column:
-    raw = pathname(url)
-    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    short = F.regexp_replace(F.lower(decoded), r"/+\z", "")
-    return F.when(short == "", F.lit("/")).otherwise(short)
+    decoded = let(pathname(url), lambda raw: F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw))
+    return let(F.regexp_replace(F.lower(decoded), r"/+\z", ""), lambda short: F.when(short == "", F.lit("/")).otherwise(short))
 
 
 def moved_away(cited: Column, landed: Column) -> Column:
     """Whether a read landed on the site's root or on an ancestor of the cited path."""
-    pc, pl = norm_path(cited), norm_path(landed)
-    asks = lambda u: F.length(part(u, 6)) > 1
-    root = (pc != "/") | (asks(cited) & ~asks(landed))
+    asks = lambda u: F.length(F.regexp_extract(u, PARTS, 6)) > 1
     known = landed.isNotNull() & (landed != "") & is_url(cited) & is_url(landed)
-    return F.coalesce(known & F.when(pl == "/", root).otherwise(F.startswith(pc, F.concat(pl, F.lit("/")))), F.lit(False))
+
+    def above(path: Column) -> Column:
+        root = (path["cited"] != "/") | (asks(cited) & ~asks(landed))
+        return F.when(path["landed"] == "/", root).otherwise(F.startswith(path["cited"], F.concat(path["landed"], F.lit("/"))))
+
+    paths = F.struct(norm_path(cited).alias("cited"), norm_path(landed).alias("landed"))
+    return F.coalesce(F.when(known, let(paths, above)), F.lit(False))
 
 
 def is_pdf(url: Column, content_type: Column | None = None) -> Column:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import url
-from ..functions.excerpt import excerpts_udf, merge_evidence_udf
+from ..functions.bind import let
+from ..functions.excerpt import excerpts_udf, merged_evidence
 from .ladder import PDF_RUNG, attempted, has_untried_rung, ladder_truncated
 from .signals import verdict
 
@@ -24,62 +24,57 @@ READ_FIELDS = (
 
 def _largest(reads: Column) -> Column:
     """The read with most prose, the earliest on ties; reads are in order."""
-    most = F.array_max(F.transform(reads, lambda r: r["prose_chars"]))
-    return F.get(F.filter(reads, lambda r: r["prose_chars"] == most), 0)
+    best = F.array_max(F.transform(reads, lambda r, i: F.struct(r["prose_chars"].alias("n"), (-i).alias("k"))))
+    return F.get(reads, -best["k"])
 
 
 def winner(reads: Column, cited: Column) -> Column:
     proven = F.get(F.filter(reads, lambda r: r["verdict"] == "supported"), 0)
     readable = F.filter(reads, lambda r: r["readable"])
-    stayed = F.filter(readable, lambda r: ~url.moved_away(cited, r["landed"]))
-    return F.coalesce(proven, _largest(stayed), _largest(readable), _largest(reads))
+    best = lambda readable: F.coalesce(_largest(F.filter(readable, lambda r: ~url.moved_away(cited, r["landed"]))), _largest(readable))
+    return F.coalesce(proven, let(readable, best), _largest(reads))
 
 
-def assemble(reads: DataFrame, taken: str = "attempted") -> DataFrame:
-    """One row per URL: judged, verdict (after the redirect gate), missed claims, winner, rungs.
+def outcome(reads: Column, cited: Column) -> Column:
+    """What the reads taken for one URL add up to: a struct, or null where none was taken; ``reads`` are in order."""
 
-    A URL none of whose reads was taken has no row.
-    """
-    fields = F.struct(F.when(F.col("rung") == PDF_RUNG, 1).otherwise(0).alias("late"), *READ_FIELDS)
-    grouped = reads.where(F.col(taken)).groupBy("url").agg(F.array_sort(F.collect_list(fields)).alias("reads"))
-    grouped = grouped.withColumns(
-        {
-            "claims": F.get("reads", 0)["claims"],
-            "won": winner(F.col("reads"), F.col("url")),
-            "located": F.array_distinct(F.flatten(F.transform(F.filter("reads", lambda r: ~r["blocked"]), lambda r: r["matched_claims"]))),
-            "rungs_attempted": F.transform("reads", lambda r: r["rung"]),
-            "statuses": F.transform("reads", lambda r: r["status"]),
-        }
-    )
-    grouped = grouped.withColumn("missed_all", F.filter("claims", lambda c: ~F.array_contains(F.col("located"), c)))
-    won = F.col("won")
-    matched = F.size("claims") - F.size("missed_all")
-    grouped = grouped.withColumns({"judged": verdict(won["total"], matched, won["blocked"], won["readable"]), "moved": url.moved_away(F.col("url"), won["landed"])})
-    return grouped.withColumn("verdict", F.when((F.col("judged") == "unsupported") & F.col("moved"), F.lit("unreachable")).otherwise(F.col("judged")))
+    def with_winner(won: Column, located: Column) -> Column:
+        missed = F.filter(won["claims"], lambda c: ~F.array_contains(located, c))
+
+        def whole(p: Column) -> Column:
+            gated = (p["judged"] == "unsupported") & p["moved"]
+            return F.struct(
+                won.alias("won"), won["claims"].alias("claims"), p["missed"].alias("missed_all"), p["judged"].alias("judged"), p["moved"].alias("moved"),
+                F.transform(reads, lambda r: r["rung"]).alias("rungs_attempted"), F.transform(reads, lambda r: r["status"]).alias("statuses"),
+                F.when(gated, F.lit("unreachable")).otherwise(p["judged"]).alias("verdict"),
+            )
 
+        judged = lambda m: verdict(won["total"], F.size(won["claims"]) - F.size(m), won["blocked"], won["readable"])
+        return let(let(missed, lambda m: F.struct(m.alias("missed"), judged(m).alias("judged"), url.moved_away(cited, won["landed"]).alias("moved"))), whole)
 
-def kept(frame: DataFrame) -> DataFrame:
-    """Keep a table that several branches read, and cut its plan; lost parts are computed again."""
-    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+    located = F.array_distinct(F.flatten(F.transform(F.filter(reads, lambda r: ~r["blocked"]), lambda r: r["matched_claims"])))
+    both = F.struct(winner(reads, cited).alias("won"), located.alias("located"))
+    return F.when(F.size(reads) > 0, let(both, lambda b: with_winner(b["won"], b["located"])))
 
 
 def judge(reads: DataFrame) -> DataFrame:
     """Climb, assemble, and climb on for the URLs judged unsupported with a rung left: one row per URL with a read.
 
-    ``reads`` has signals for every rung at hand.
+    ``reads`` has signals for every rung at hand. Both climbs are marked by windows over a
+    URL's few reads, so the table is read and shuffled once.
     """
-    reads = kept(reads)
-    climbed = attempted(reads)
-    available = reads.groupBy("url").agg(F.collect_set("rung").alias("rungs_available"))
-    first = assemble(climbed).join(available, "url")
+    flagged = attempted(attempted(reads, exhaustive=True).withColumnRenamed("attempted", "exhaustive"))
+    fields = F.struct(F.when(F.col("rung") == PDF_RUNG, 1).otherwise(0).alias("late"), *READ_FIELDS, "attempted", "exhaustive")
+    by_url = flagged.groupBy("url").agg(F.array_sort(F.collect_list(fields)).alias("_reads"))
+    first = by_url.withColumn("_one", let(F.filter("_reads", lambda r: r["attempted"]), lambda taken: outcome(taken, F.col("url")))).where("_one is not null")
+    first = first.withColumn("rungs_available", F.array_distinct(F.transform("_reads", lambda r: r["rung"])))
     pdf = url.is_pdf(F.col("url"))
-    again = (F.col("judged") == "unsupported") & has_untried_rung(F.col("rungs_attempted"), F.col("rungs_available"), pdf)
-    marked = kept(first.withColumn("escalated", again))
-    more = attempted(reads, exhaustive=True).join(marked.where("escalated").select("url"), "url", "left_semi")
-    second = assemble(more).join(available, "url").withColumn("escalated", F.lit(True))
-    out = marked.where(~F.col("escalated")).unionByName(second)
+    again = (F.col("_one.judged") == "unsupported") & has_untried_rung(F.col("_one.rungs_attempted"), F.col("rungs_available"), pdf)
+    marked = first.withColumn("escalated", again)
+    further = let(F.filter("_reads", lambda r: r["exhaustive"]), lambda taken: outcome(taken, F.col("url")))
+    out = marked.withColumn("_end", F.when(F.col("escalated"), further).otherwise(F.col("_one"))).select("url", "rungs_available", "escalated", "_end.*")
     won = F.col("won")
-    return kept(out).withColumns(
+    return out.withColumns(
         {
             "ladder_truncated": ladder_truncated(F.col("rungs_available"), pdf),
             "missed": F.when(F.col("verdict") == "unsupported", F.col("missed_all")).otherwise(F.array().cast("array<string>")),
@@ -100,7 +95,7 @@ def with_evidence(judged: DataFrame, reads: DataFrame) -> DataFrame:
     by_url = first.groupBy("url").agg(F.collect_list(F.struct("claim", F.col("r.rung").alias("rung"), F.col("r.regions").alias("regions"))).alias("found"))
     ordered = F.sort_array(F.transform("found", lambda f: F.struct(F.array_position(F.col("claims"), f["claim"]).alias("p"), f["claim"].alias("claim"), f["rung"].alias("rung"), f["regions"].alias("regions"))))
     located = shown.join(by_url, "url").select("url", F.transform(ordered, lambda f: F.struct(f["claim"].alias("claim"), f["rung"].alias("rung"), f["regions"].alias("regions"))).alias("located"))
-    evidence = located.select("url", merge_evidence_udf(excerpts_udf("located")).alias("evidence"))
+    evidence = located.select("url", excerpts_udf("located").alias("shown")).select("url", merged_evidence(F.col("shown")).alias("evidence"))
     return judged.join(evidence, "url", "left")
 
 
@@ -129,13 +124,20 @@ def reachability_rate(reach: DataFrame) -> DataFrame:
     return reach.agg(F.count("*").alias("urls"), F.coalesce(F.avg(F.col("readable").cast("double")), F.lit(1.0)).alias("rate"))
 
 
-def run_exit(results: DataFrame, fail_on_unreachable: bool = False, fail_on_unclaimed: bool = True, orphaned: Column | None = None) -> DataFrame:
-    """Tally of verdicts and the exit code: 1 for unsupported, unclaimed or what was opted in."""
-    count = lambda v: F.count_if(F.col("verdict") == v)
-    tally = results.agg(*[count(v).alias(v) for v in ("supported", "unsupported", "unreachable", "unclaimed")])
+def run_exit(results: DataFrame, fail_on_unreachable: bool = False, fail_on_unclaimed: bool = True, orphaned: DataFrame | None = None, fail_on_orphaned: bool = False, infrastructure: Column | None = None) -> DataFrame:
+    """Tally of verdicts and orphaned claims, and the exit code.
+
+    2 where ``infrastructure`` (a condition on the results) holds for any row; else 1 for unsupported,
+    unclaimed or what was opted in; else 0.
+    """
+    flag = F.coalesce(infrastructure, F.lit(False)) if infrastructure is not None else F.lit(False)
+    rows = results.select("verdict", flag.alias("_broken"))
+    if orphaned is not None:
+        rows = rows.unionByName(orphaned.select(F.lit("orphaned").alias("verdict"), F.lit(False).alias("_broken")))
+    names = ("supported", "unsupported", "unreachable", "unclaimed", "orphaned")
+    tally = rows.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in names], F.coalesce(F.max("_broken"), F.lit(False)).alias("_broken"))
     fails = F.col("unsupported") > 0
-    if fail_on_unclaimed:
-        fails = fails | (F.col("unclaimed") > 0)
-    if fail_on_unreachable:
-        fails = fails | (F.col("unreachable") > 0)
-    return tally.withColumn("exit_code", F.when(fails, 1).otherwise(0))
+    for opted, name in ((fail_on_unclaimed, "unclaimed"), (fail_on_unreachable, "unreachable"), (fail_on_orphaned, "orphaned")):
+        if opted:
+            fails = fails | (F.col(name) > 0)
+    return tally.withColumn("exit_code", F.when(F.col("_broken"), 2).when(fails, 1).otherwise(0)).drop("_broken")

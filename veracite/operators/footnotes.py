@@ -13,30 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.bind import let
 from ..functions.text import below_claim_floor, norm, trim_ws, utf16_length
 from ..functions.url import has_credentials, normalize_url
 from ..thresholds import THRESHOLDS
 
 DEFINITION = r"(?md)^\[\^([^\]]+)\]:[ \t]*(.*(?:\n[ \t]+\S.*)*+)"
 LINKS = (r"<(https?://[^>\s]+)>", r"\]\((https?://[^\s]+)\)", r"(https?://[^\s<>\]]+)")  # angle, Markdown, bare
-TRIM_PASSES = 6
-FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+# a fenced block: its opening line, the lines up to a run of the same character at least as long, and that line, if any
+FENCED = re.compile(r"^[^\S\n]*(`{3,}|~{3,})[^\n]*+(?:\n(?![^\S\n]*\1)[^\n]*+)*+(?:\n[^\n]*+)?", re.M)
 
 
 def blank_fences(text: str) -> str:
-    """Blank the lines of fenced code; a fence closes on a run of its own character at least as long."""
-    open_run, out = "", []
-    for line in text.split("\n"):
-        m = FENCE.match(line)
-        run = m.group(1) if m else ""
-        if not open_run:
-            out.append("" if run else line)
-            open_run = run
-        else:
-            out.append("")
-            if run and run[0] == open_run[0] and len(run) >= len(open_run):
-                open_run = ""
-    return "\n".join(out)
+    """The text with each line of fenced code empty; the number of lines stays."""
+    return FENCED.sub(lambda block: "\n" * block[0].count("\n"), text)
 
 
 @F.pandas_udf(T.StringType())
@@ -51,20 +41,26 @@ def unfenced(markdown: Column) -> Column:
 
 
 def trim_url(url: Column) -> Column:
-    """Strip trailing punctuation and unbalanced closing parentheses, in turns."""
+    """Strip trailing punctuation and closing parentheses that nothing opens, as far as both go.
+
+    Of the parentheses in the trailing run as many go as the URL has closing ones too
+    many; what stays of the run ends with the last parenthesis that stays.
+    """
     count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
 
-    def once(seen: Column, _: Column) -> Column:
-        bare = F.regexp_replace(seen, r"[.,;:!?]+\z", "")
-        loose = bare.endswith(")") & (count(bare, ")") > count(bare, "("))
-        return F.when(loose, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    def trimmed(tail: Column) -> Column:
+        inside = count(tail, ")")
+        kept = F.least(inside, F.greatest(F.lit(0), inside - (count(url, ")") - count(url, "("))))
+        end = let(kept, lambda k: F.when(k > 0, F.concat(F.call_function("substring_index", tail, F.lit(")"), k), F.lit(")"))).otherwise(F.lit("")))
+        return F.concat(F.substring(url, F.lit(1), F.length(url) - F.length(tail)), end)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIM_PASSES)), url, once)
+    return let(F.regexp_extract(url, r"([.,;:!?)]*)\z", 1), trimmed)
 
 
 def first_url(text: Column) -> Column:
     """The first angle link, else Markdown link, else bare link of a text; null if there is none."""
-    return F.coalesce(*[trim_url(F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p in LINKS])
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in LINKS])
+    return let(found, trim_url)
 
 
 def parse_footnotes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "markdown") -> DataFrame:
@@ -102,13 +98,27 @@ def parse_claims(files: DataFrame, id_col: str = "doc_id", json_col: str = "clai
     """(id, authored, key, claims, na_reason, problem, credentials) per entry of each claims file.
 
     Keys that start with ``_`` are notes. ``problem`` names a collision, a claim
-    below the floor or a value of another shape; ``refuse_problems`` raises on one.
+    below the floor or a value of another shape; ``refuse_problems`` raises on one. A
+    file that is no JSON object gives one row with a problem and no key. A null file has no rows.
     """
-    entries = files.select(F.col(id_col), F.explode(F.from_json(json_col, "map<string,string>")).alias("authored", "value")).where(~F.startswith("authored", F.lit("_")))
-    phrases = F.from_json("value", "array<string>")
-    strings = F.col("value").rlike(r"^\s*\[") & (F.size(phrases) > 0)
-    reason = F.get_json_object("value", "$.notApplicable")
-    step = entries.withColumns({"key": normalize_url(F.col("authored")), "claims": F.when(strings, phrases), "na_reason": F.when(~F.col("value").rlike(r"^\s*\["), reason)})
+    parsed = files.where(F.col(json_col).isNotNull()).select(F.col(id_col), F.try_parse_json(json_col).alias("_file"))
+    parsed = parsed.withColumn("_object", F.coalesce(F.schema_of_variant("_file").startswith("OBJECT"), F.lit(False)))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("authored", "string"), ("key", "string"), ("claims", "array<string>"), ("na_reason", "string"))]
+    broken = parsed.where(~F.col("_object")).select(id_col, *none, F.lit("the claims file is not a JSON object").alias("problem"), F.lit(False).alias("credentials"))
+    # the members by name; each keeps its JSON type
+    whole = parsed.where("_object")
+    members = whole.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("_file").outer())).select(id_col, F.col("key").alias("authored"), F.col("value").alias("_value"))
+    entries = members.where(~F.startswith("authored", F.lit("_")))
+    kind = F.schema_of_variant("_value")
+    reason = F.try_variant_get("_value", "$.notApplicable", "string")
+    given = F.schema_of_variant(F.try_variant_get("_value", "$.notApplicable", "variant")) == "STRING"
+    step = entries.withColumns(
+        {
+            "key": normalize_url(F.col("authored")),
+            "claims": F.when(kind == "ARRAY<STRING>", F.try_variant_get("_value", "$", "array<string>")),
+            "na_reason": F.when(kind.startswith("OBJECT") & given, reason),
+        }
+    )
     same = step.groupBy(id_col, "key").agg(F.count("*").alias("same"))
     short = F.get(F.filter("claims", lambda c: below_claim_floor(c, THRESHOLDS.min_claim_chars)), 0)
     problem = (
@@ -116,12 +126,13 @@ def parse_claims(files: DataFrame, id_col: str = "doc_id", json_col: str = "clai
         .when(F.col("claims").isNull() & F.col("na_reason").isNull(), 'expected a non-empty array of phrases or {"notApplicable": "<reason>"}')
         .when(short.isNotNull(), claim_floor_message(F.col("authored"), short))
     )
-    return step.join(same, [id_col, "key"]).select(id_col, "authored", "key", "claims", "na_reason", problem.alias("problem"), has_credentials(F.col("authored")).alias("credentials"))
+    checked = step.join(same, [id_col, "key"]).select(id_col, "authored", "key", "claims", "na_reason", problem.alias("problem"), has_credentials(F.col("authored")).alias("credentials"))
+    return checked.unionByName(broken)
 
 
 def refuse_problems(parsed: DataFrame) -> DataFrame:
     """The entries, failing the job at the first problem."""
-    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("authored", F.lit(": "), "problem"))).otherwise(F.lit(True))
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.coalesce("authored", F.lit("claims file")), F.lit(": "), "problem"))).otherwise(F.lit(True))
     return parsed.withColumn("_ok", checked.cast("boolean")).where("_ok").drop("_ok", "problem")
 
 

@@ -295,11 +295,12 @@ def reachability_rate(spark, sf_dir):
 
 @query(
     f"""with {O.JUDGED}, t as (select count(*) filter (verdict = 'supported') as supported, count(*) filter (verdict = 'unsupported') as unsupported,
-    count(*) filter (verdict = 'unreachable') as unreachable, count(*) filter (verdict = 'unclaimed') as unclaimed from judged)
-    select *, cast(case when unsupported > 0 or unclaimed > 0 then 1 else 0 end as int) as exit_code from t"""
+    count(*) filter (verdict = 'unreachable') as unreachable, count(*) filter (verdict = 'unclaimed') as unclaimed from judged),
+    o as (select count(*) as orphaned from ({ORACLE["orphaned_claims"]}))
+    select t.*, orphaned, cast(case when unsupported > 0 or unclaimed > 0 or orphaned > 0 then 1 else 0 end as int) as exit_code from t, o"""
 )
 def run_exit(spark, sf_dir):
-    return assemble.run_exit(_judged(spark, sf_dir))
+    return assemble.run_exit(_judged(spark, sf_dir), orphaned=orphaned_claims(spark, sf_dir), fail_on_orphaned=True)
 
 
 # --- harvest ------------------------------------------------------------------
@@ -369,7 +370,7 @@ def archive_blobs(spark, sf_dir):
 def _archive(spark, sf_dir):
     """The archive of the first run, with a changed claims hash for every 13th page and an older tool for every 17th."""
     reads = ladder.attempted(signalled_reads(spark, sf_dir))
-    made = assemble.kept(archive.entries(reads, _judged(spark, sf_dir), "1.0", F.lit("2026-01-01T00:00:00Z")))
+    made = archive.entries(reads, _judged(spark, sf_dir), "1.0", F.lit("2026-01-01T00:00:00Z"))
     numbered = made.join(table(spark, sf_dir, "pages").select("url", "page_id"), "url")
     changed = numbered.withColumn("claims_hash", F.when(F.col("page_id") % 13 == 0, F.lit("other")).otherwise(F.col("claims_hash")))
     return changed.withColumn("tool_version", F.when(F.col("page_id") % 17 == 0, F.lit("0.9")).otherwise(F.col("tool_version")))

@@ -37,14 +37,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of texts that share 0.8 or more of their five-word shingles.
 
-    Rows without an id cannot be told apart by it and stay; rows repeated with one id and text leave one
+    Rows without an id cannot be told apart by it and stay, and so do rows with a null text, of which nothing is
+    known. Texts without words are exact copies of each other. Rows repeated with one id and text leave one
     row. Of rows with one id and different texts each stands for its own group.
     """
-    groups = simhash.wide_groups(docs, words=5, similarity=0.8)
-    kept = groups.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    known = docs.where("doc_id is not null and text is not null")
+    groups = simhash.wide_groups(docs.where("text is not null"), words=5, similarity=0.8)
+    kept = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    hashed = known.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
     named = hashed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id is null or text is null")).select(*COLUMNS)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

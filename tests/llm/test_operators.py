@@ -152,11 +152,18 @@ def test_simhash_links_of_crowded_buckets(spark, cap, distance):
     r = random.Random(cap)
     centre = r.getrandbits(63)
     values = {centre ^ sum(1 << b for b in r.sample(range(63), r.randrange(4))) for _ in range(150)} | {r.getrandbits(63) for _ in range(20)}
-    fp = dict(enumerate(sorted(values)))
-    nodes = spark.createDataFrame([(v, i) for i, v in fp.items()], "fp long, rep long")
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
     got = {r["node"]: r["component"] for r in graph.components(simhash.links(nodes, distance, cap=cap)).collect()}
-    root = closure(list(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= distance)
-    assert {i: got.get(i, i) for i in fp} == root
+    assert {v: got.get(v, v) for v in values} == closure(sorted(values), lambda a, b: (a ^ b).bit_count() <= distance)
+
+
+def test_simhash_rows_without_an_id_link_others(spark, monkeypatch):
+    """Fingerprints 0 - 3 (of a null id only) - 15: one component."""
+    marks = {"a": 0, "b": 3, "c": 15, "d": 1 << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.replace({k: str(v) for k, v in marks.items()}, subset="text").select("doc_id", F.array(F.col("text").cast("long")).alias("fp")))
+    docs = spark.createDataFrame([(5, "a"), (None, "b"), (9, "c"), (None, "d"), (None, "a")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["fingerprint"][-2:], r["component_id"] or 0) for r in simhash.groups(docs).collect()))
+    assert got == [(0, "00", 0), (0, "00", 5), (0, "03", 5), (5, "00", 5), (9, "0f", 5)]
 
 
 def test_wide_groups_find_similar_texts(docs):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -40,7 +41,21 @@ def bounded_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; it survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffles, broadcasts and checkpoints that nothing refers to any more.
+
+    Spark's cleaner frees them, here and on the executors, once the driver's collector has
+    seen that they are gone. A driver whose heap is a quarter full is asked to look.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() - runtime.freeMemory() > runtime.maxMemory() // 4:
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def map_texts(

@@ -79,10 +79,21 @@ def places_of(lines: DataFrame) -> DataFrame:
     return lines.select("row", "doc", "line_no", "h1", "h2")
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
+HOT_LINES = 1024
+HOT_COUNT = 64
+
+
+def joined_by_line(places: DataFrame, facts: DataFrame, hot: DataFrame) -> DataFrame:
+    """Places joined with the facts (one row a line) of their lines. The ``hot`` lines are known to every task and gather nowhere."""
+    known = F.broadcast(hot.select("h1", "h2"))
+    often = places.join(F.broadcast(facts.join(known, ["h1", "h2"], "left_semi")), ["h1", "h2"])
+    seldom = places.join(known, ["h1", "h2"], "left_anti").join(facts.join(known, ["h1", "h2"], "left_anti"), ["h1", "h2"])
+    return often.unionByName(seldom)
+
+
+def repeated_lines(lines: DataFrame, several: DataFrame, hot: DataFrame) -> DataFrame:
     """(row, line_no) of the lines that stand in a row of a smaller id too, or earlier in their own row."""
-    several = lines.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = places_of(lines).join(several, ["h1", "h2"])
+    met = joined_by_line(places_of(lines), several.select("h1", "h2", "least"), hot)
     later = met.where("doc > least").select("row", "line_no")
     own = met.where("doc = least").groupBy("row", "h1", "h2").agg(F.array_sort(F.collect_set("line_no")).alias("at")).where("size(at) > 1")
     return later.unionByName(own.select("row", F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("line_no")))
@@ -161,9 +172,11 @@ def near_lines(documents: DataFrame, places: DataFrame, id_col: str, text_col: s
 def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(row, gone array) of the rows that lose lines: the rising line numbers, from 0; ``row`` is ``row_key``."""
     lines = checkpointed(hashed_lines(documents, id_col, text_col, min_words))
-    near = near_lines(documents, candidates(lines), id_col, text_col, min_words)
-    altered = places_of(lines).join(near, ["h1", "h2"], "left_semi").select("row", "line_no")
-    return repeated_lines(lines).unionByName(altered).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    several = checkpointed(lines.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1"))
+    hot = checkpointed(several.where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), "h1", "h2").limit(HOT_LINES))
+    near = checkpointed(near_lines(documents, checkpointed(candidates(lines)), id_col, text_col, min_words))
+    altered = joined_by_line(places_of(lines), near, hot).select("row", "line_no")
+    return repeated_lines(lines, several, hot).unionByName(altered).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
 def line_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -180,9 +193,11 @@ def _line_total(text: Column) -> Column:
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their duplicate lines removed, and columns n_lines, n_removed."""
-    gone = removals(documents, id_col, text_col, min_words).withColumnsRenamed({"row": "_row", "gone": "_gone"})
-    docs = documents.drop("n_lines", "n_removed").withColumn("_row", row_key(id_col, text_col))
-    joined = docs.join(gone, "_row", "left")
-    keep = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    counted = joined.withColumn("n_lines", _line_total(F.col(text_col))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-    return counted.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))).drop("_row", "_gone")
+    gone = removals(documents, id_col, text_col, min_words)
+    kept = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    docs = documents.select(F.struct(*kept).alias("all"), row_key(id_col, text_col).alias("row"))
+    joined = docs.join(gone, "row", "left").select("all.*", F.struct("gone", _line_total(F.col(f"all.{text_col}")).alias("total")).alias("n_lines"))
+    left = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("n_lines.gone"), i))
+    text = F.when(F.col("n_lines.gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in kept]
+    return joined.select(*columns, F.col("n_lines.total").alias("n_lines"), F.coalesce(F.size("n_lines.gone"), F.lit(0)).alias("n_removed"))

@@ -28,8 +28,8 @@ are those of all pairs.
 
 Cases: null and empty texts have the fingerprint zero and are linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are
-one node; rows with a null id get the component of their fingerprint but never
-name one; an empty table gives an empty result; extra columns are ignored.
+one node; rows with a null id link others like any row but never name a component;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,14 +128,14 @@ def block_masks(blocks: int = 5, distance: int = 2) -> list[int]:
 
 
 def links(nodes: DataFrame, distance: int = 2, blocks: int = 5, cap: int = 64) -> DataFrame:
-    """Links (u, v) between nodes (fp long, rep long) whose fingerprints differ in at most ``distance`` (1 or 2) bits.
+    """Links (u, v) between the distinct fingerprints of ``nodes`` (fp long) that differ in at most ``distance`` (1 or 2) bits.
 
     All verified pairs of the buckets up to ``cap``; for larger ones links that connect the same nodes.
     """
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
     masks = block_masks(blocks, distance)
-    keys = nodes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("block", "bits"))
+    keys = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("block", "bits"))
     large = keys.groupBy("block", "bits").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("block", "bits")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
     small = keys.join(large, ["block", "bits"], "left_anti")
@@ -143,28 +143,33 @@ def links(nodes: DataFrame, distance: int = 2, blocks: int = 5, cap: int = 64) -
     pairs = a.join(
         b,
         (F.col("a.block") == F.col("b.block")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & near(F.col("a.fp"), F.col("b.fp")),
-    ).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    crowded = keys.join(large, ["block", "bits"], "left_semi").select("fp", "rep").distinct()
+    ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    crowded = keys.join(large, ["block", "bits"], "left_semi").select("fp").distinct()
     flips = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)]]
-    ball = crowded.select("fp", "rep", F.explode(F.array(*flips)).alias("point"))
-    first = ball.groupBy("point").agg(F.min_by("rep", "fp").alias("lead"), F.min("fp").alias("lead_fp"), F.count("*").alias("n")).where("n > 1")
-    met = ball.join(first, "point").where(near(F.col("fp"), F.col("lead_fp")))
-    return pairs.unionByName(met.select(F.col("rep").alias("u"), F.col("lead").alias("v")) if distance == 2 else _ball_one(crowded))
+    ball = crowded.select("fp", F.explode(F.array(*flips)).alias("point"))
+    first = ball.groupBy("point").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    met = ball.join(first, "point").where(near(F.col("fp"), F.col("lead")))
+    return pairs.unionByName(met.select(F.col("fp").alias("u"), F.col("lead").alias("v")) if distance == 2 else _ball_one(crowded))
 
 
 def _ball_one(crowded: DataFrame) -> DataFrame:
     """Links at distance 1: a fingerprint and its neighbour with one bit cleared."""
-    cleared = crowded.select("fp", "rep", F.explode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(~(1 << k) & (2**64 - 1)))) for k in range(64)])).alias("point")).where("point <> fp")
-    return cleared.join(crowded.select(F.col("fp").alias("point"), F.col("rep").alias("v")), "point").select(F.col("rep").alias("u"), "v")
+    cleared = crowded.select("fp", F.explode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(~(1 << k) & (2**64 - 1)))) for k in range(64)])).alias("v")).where("v <> fp")
+    return cleared.join(crowded.select(F.col("fp").alias("v")), "v").select(F.col("fp").alias("u"), "v")
 
 
 def groups(documents: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
-    """One row (id, fingerprint, component_id) per input row; components of links at ``distance`` bits."""
+    """One row (id, fingerprint, component_id) per input row; components of links at ``distance`` bits.
+
+    Nodes are fingerprints, whatever ids hold them, so rows without an id link others too; a component is
+    named by the smallest id in it, null where it has none.
+    """
     prints = checkpointed(fingerprints(documents, words, 1, id_col, text_col, id_type).select(id_col, F.col("fp")[0].alias("fp")))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    roots = components(links(nodes, distance))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = checkpointed(components(links(nodes, distance)))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(named.join(names, "root").select("fp", "component_id"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def allowed_bits(similarity: float, bits: int) -> int:
@@ -185,16 +190,37 @@ def set_name(shingles: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
+def majorities(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """The wide fingerprints (texts x ``size``) of several sets of hashes; the bits of all are counted at once.
+
+    Byte lanes are summed over stretches of at most 255 hashes, then over the stretches of a set.
+    """
+    out = np.zeros((len(sets), size), np.int64)
+    some = [k for k, s in enumerate(sets) if len(s)]
+    if not some:
+        return out
+    lengths = np.array([len(sets[k]) for k in some])
+    stretches = -(-lengths // 255)
+    ends = np.cumsum(lengths)
+    within = np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+    starts = np.repeat(ends - lengths, stretches) + 255 * within
+    firsts = np.cumsum(stretches) - stretches
+    every = np.concatenate([sets[k] for k in some])
+    for j in range(size):
+        h = mixed(every, j)
+        counts = np.empty((len(some), 64), np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(k)) & LANES, starts).view(np.uint8).reshape(-1, 8)
+            counts[:, k::8] = np.add.reduceat(lanes, firsts, axis=0, dtype=np.int64)
+        out[some, j] = np.packbits(counts * 2 > lengths[:, None], axis=1, bitorder="little").view("<i8").ravel()
+    return out
+
+
 def wide_prints(documents: DataFrame, words: int, similarity: float, size: int, id_col: str, text_col: str, id_type: str) -> DataFrame:
     """One row (id, text_hash, node, fp array of longs, low array of longs) per input row.
 
-    ``text_hash`` is Spark's xxhash64 of the text, ``low`` the smallest hashes of a small set.
+    ``text_hash`` is the XXH64 of the text, ``low`` the smallest hashes of a small set.
     """
-    from xxhash import xxh64_intdigest
-
-    def wide(shingles: np.ndarray) -> np.ndarray:
-        counts = np.stack([bit_counts(mixed(shingles, j)) for j in range(size)])
-        return np.packbits((counts * 2 > len(shingles)).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
 
     def low(shingles: np.ndarray) -> np.ndarray:
         n = len(shingles)
@@ -202,13 +228,20 @@ def wide_prints(documents: DataFrame, words: int, similarity: float, size: int,
 
     def run(batches: Iterator[tuple[list, list]]) -> Iterator[dict]:
         for ids, texts in batches:
-            sets = [distinct_shingles(t, words) for t in texts]
-            hashes = np.array([xxh64_intdigest(t.encode("utf-8", "replace"), SEED) for t in texts], np.uint64).view(np.int64)
-            yield {id_col: ids, "text_hash": hashes, "node": [set_name(s) for s in sets], "fp": [wide(s) for s in sets], "low": [low(s) for s in sets]}
+            for lo in range(0, len(texts), 64):
+                sets = [distinct_shingles(t, words) for t in texts[lo : lo + 64]]
+                hashes = np.array([text_hash(t) for t in texts[lo : lo + 64]], np.int64)
+                yield {id_col: ids[lo : lo + 64], "text_hash": hashes, "node": [set_name(s) for s in sets], "fp": list(majorities(sets, size)), "low": [low(s) for s in sets]}
 
     return map_texts(documents, id_col, text_col, run, f"{id_col} {id_type}, text_hash long, node long, fp array<long>, low array<long>")
 
 
+def text_hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(text.encode("utf-8", "replace"), SEED)).view(np.int64))
+
+
 def block_picks(bits: int, block_bits: int) -> np.ndarray:
     """The bits of each block; the blocks of one round don't overlap."""
     r = np.random.default_rng(SEED)
@@ -344,14 +377,15 @@ def wide_components(met: DataFrame, sets: DataFrame, similarity: float, rough: i
 def wide_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 18, block_bits: int = 18, cap: int = 64, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """One row (id, text_hash, root, component_id) per input row; components of texts of at least ``similarity``.
 
-    ``root`` names the component, also where ids repeat with other texts; ``component_id`` is its smallest id.
+    ``text_hash`` is Spark's xxhash64 of the text with the seed 42. ``root`` names the component, also where ids repeat with other
+    texts or are null; ``component_id`` is its smallest id.
     """
     prints = checkpointed(wide_prints(documents, words, similarity, size, id_col, text_col, id_type))
-    nodes = checkpointed(prints.groupBy("node").agg(F.min(id_col).alias("rep"), F.first("fp").alias("fp"), F.first("low").alias("low")).where("rep is not null"))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min(id_col).alias("rep"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("low").alias("low")))
     rough = allowed_bits(similarity, 128)
     met = checkpointed(meetings(block_keys(nodes, size, block_bits), rough, 8 * cap))
-    wanted = met.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    wanted = met.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
+    texts = documents.select(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash")
     roots = wide_components(met, checkpointed(shingle_sets(texts, words)), similarity, rough)
     named = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -17,7 +17,8 @@ Cases: null and empty texts give no ids and decode to the empty text; the
 literal mark U+2581 in a text decodes to a space, as in the library; repeated
 rows give equal ids; an empty table gives an empty result; extra input columns
 are ignored. Texts of any length are encoded whole; a chunk of at most
-``CHUNK`` characters of units (or one longer unit) is indexed at a time.
+``CHUNK`` characters of units is indexed at a time. A unit longer than ``TILE``, as in
+texts without spaces, is cut first at places that no occurrence of a piece spans.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from .common import map_texts
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CHUNK = 1 << 20
+TILE = 1 << 18
 CACHE_UNITS = 1 << 19
 LONG_UNIT = 48
 
@@ -133,6 +135,8 @@ class Encoder:
         if len(self.known) + len(fresh) > CACHE_UNITS:
             self.known = {}
             fresh = {u for text in units for u in text}
+        cut = {u: self._independent(u) for u in fresh if len(u) > TILE}
+        fresh = fresh - cut.keys() | {p for parts in cut.values() for p in parts}
         chunk: list[str] = []
         size = 0
         for unit in sorted(fresh):
@@ -143,7 +147,32 @@ class Encoder:
             size += len(unit) + 1
         if chunk:
             self._learn(chunk)
-        return [b"".join(map(self.known.__getitem__, text)) for text in units]
+        for unit, parts in cut.items():
+            self.known[unit] = b"".join(map(self.known.__getitem__, parts))
+        done = [b"".join(map(self.known.__getitem__, text)) for text in units]
+        for unit in cut:  # long units are not remembered
+            for part in {unit, *cut[unit]}:
+                self.known.pop(part, None)
+        return done
+
+    def _independent(self, unit: str) -> list[str]:
+        """A long unit cut where no occurrence of any piece spans the cut, so that its parts are encoded alone.
+
+        The index covers a tile at a time and the characters that its last pieces need; a tile without such a place grows.
+        """
+        m, parts, at, size = self.model, [], 0, TILE
+        while len(unit) - at > size:
+            chars = np.frombuffer(unit[at : at + size + m.longest].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            spots, _ = m.edges(m.dense(chars))
+            start, length = spots // m.longest, spots % m.longest + 1
+            spans = np.bincount(start + 1, minlength=len(chars) + 2) - np.bincount(start + length, minlength=len(chars) + 2)
+            free = np.flatnonzero(np.cumsum(spans)[1 : size + 1] == 0) + 1
+            if len(free):
+                parts.append(unit[at : at + int(free[-1])])
+                at, size = at + int(free[-1]), TILE
+            else:
+                size *= 2
+        return [*parts, unit[at:]]
 
     def _learn(self, units: list[str]) -> None:
         m = self.model
@@ -231,31 +260,34 @@ class Encoder:
 
     @staticmethod
     def _heap(stops: np.ndarray, begin: int, end: int, rank_of) -> None:
-        """One long unit: a heap of (rank, start, middle, stop); stale entries are skipped."""
+        """One long unit: a heap of ranks and starts in one number each; an entry is stale if the pair at its start has another rank now."""
+        size = end - begin
+        stop = [*range(1, size + 1)]  # ends of the symbols, as seen from the unit's start
+        before = [*range(-1, size)]  # starts of the symbols that end here
         left = np.arange(begin, end - 1)
         rank = rank_of(left, left + 2)
-        good = rank != NO_EDGE
-        heap = [(int(r), int(s), int(s) + 1, int(s) + 2) for r, s in zip(rank[good], left[good], strict=True)]
+        now = np.append(rank, NO_EDGE)  # rank of the pair that starts here
+        good = np.flatnonzero(rank != NO_EDGE)
+        heap = (rank[good] * size + good).tolist()
         heapq.heapify(heap)
-        previous = {s + 1: s for s in range(begin, end)}
         while heap:
-            _, s, mid, stop = heapq.heappop(heap)
-            if stops[s] != mid or mid >= end or stops[mid] != stop:
+            r, s = divmod(heapq.heappop(heap), size)
+            if now[s] != r:
                 continue
-            stops[s], stops[mid] = stop, 0
-            previous.pop(mid, None)
-            previous[stop] = s
-            pairs = []
-            if stop < end:
-                pairs.append((s, stop, int(stops[stop])))
-            before = previous.get(s)
-            if before is not None and before >= begin and s > begin:
-                pairs.append((before, s, stop))
+            middle = stop[s]
+            last = stop[middle]
+            stop[s], before[last], now[middle] = last, s, NO_EDGE
+            stop[middle] = 0
+            pairs = [(s, stop[last])] if last < size else []
+            pairs += [(before[s], last)] if s else []
+            now[s] = NO_EDGE
             if pairs:
-                found = rank_of(np.array([a for a, _, _ in pairs]), np.array([c for _, _, c in pairs]))
-                for r, pair in zip(found, pairs, strict=True):
-                    if r != NO_EDGE:
-                        heapq.heappush(heap, (int(r), *pair))
+                found = rank_of(np.array([begin + a for a, _ in pairs]), np.array([begin + c for _, c in pairs]))
+                for fresh, (a, _) in zip(found.tolist(), pairs, strict=True):
+                    now[a] = fresh
+                    if fresh != NO_EDGE:
+                        heapq.heappush(heap, fresh * size + a)
+        stops[begin:end] = np.where(np.array(stop) > 0, np.array(stop) + begin, 0)
 
 
 @lru_cache(maxsize=1)

@@ -80,44 +80,64 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def cut_points(ids: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(positions after which one document may be cut, penalty of each); the last is its end, free."""
-    n = len(ids)
-    marks = np.flatnonzero(ends[ids]) + 1
-    marks = np.unique(np.concatenate([marks, [n]]))
-    gaps = np.diff(np.concatenate([[0], marks]))
-    filler = [np.arange(m - g + stride, m, stride) for m, g in zip(marks, gaps, strict=True) if g > stride]
-    points = np.unique(np.concatenate([marks, *filler])) if filler else marks
-    penalty = np.where(np.isin(points, marks), SENTENCE_PENALTY, CUT_PENALTY)
-    penalty[-1] = 0.0
+def cut_points(ids: np.ndarray, stops: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """(positions after which documents in a row may be cut, penalty of each); ``stops`` are the documents' ends, which are free."""
+    final = ends[ids]
+    final[stops - 1] = True
+    marks = np.flatnonzero(final) + 1
+    gaps = np.diff(marks, prepend=0)
+    parts = (gaps - 1) // stride + 1  # a long sentence may also be cut every ``stride`` tokens
+    at_mark = np.cumsum(parts) - 1
+    points = np.repeat(marks - gaps, parts) + stride * (np.arange(parts.sum()) - np.repeat(at_mark + 1 - parts, parts) + 1)
+    points[at_mark] = marks
+    penalty = np.full(len(points), CUT_PENALTY)
+    penalty[at_mark] = SENTENCE_PENALTY
+    penalty[np.searchsorted(points, stops)] = 0.0
     return points, penalty
 
 
-def best_cuts(points: list[int], penalty: list[float], window: int = WINDOW) -> list[int]:
+def free_steps(pos: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """(from, to): the pairs of cuts a power of two apart, sorted by the second; such windows need no padding."""
+    origin, target = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(window.bit_length()):
+        want = pos - (1 << k)
+        at = np.searchsorted(pos, want)
+        hit = np.flatnonzero(pos[at] == want)  # ``at`` is never past the end, as ``want`` lies below
+        origin.append(at[hit])
+        target.append(hit)
+    origin, target = np.concatenate(origin), np.concatenate(target)
+    order = np.argsort(target, kind="stable")
+    return origin[order].tolist(), target[order].tolist()
+
+
+def best_cuts(points, penalty, window: int = WINDOW) -> list[int]:
     """Indices into ``points`` (rising, from above 0) of the window ends, the last point included.
 
     Neighbouring points must lie at most ``window`` apart, the first at most ``window`` from 0.
     """
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    n = len(points)
+    places = np.concatenate([[0], np.asarray(points, np.int64)])
+    pos, fees = places.tolist(), list(map(float, penalty))
+    origin, target = free_steps(places, window)
+    target.append(-1)
+    n = len(fees)
     cost, back = [0.0] * (n + 1), [0] * (n + 1)
-    place = {0: 0}
-    pos = [0, *points]
-    queue: deque[int] = deque([0])  # cuts with rising cost + position
+    key = [0.0] * (n + 1)  # cost + position
+    queue: deque[int] = deque([0])  # cuts with rising keys
+    f = 0
     for j in range(1, n + 1):
         p = pos[j]
         while pos[queue[0]] < p - window:
             queue.popleft()
         i = queue[0]
-        best = cost[i] + pos[i] + window - p
-        for power in powers:
-            k = place.get(p - power)
-            if k is not None and cost[k] < best:
+        best = key[i] + window - p
+        while target[f] == j:
+            k = origin[f]
+            if cost[k] < best:
                 best, i = cost[k], k
-        cost[j], back[j] = best + penalty[j - 1], i
-        place[p] = j
-        key = cost[j] + p
-        while queue and cost[queue[-1]] + pos[queue[-1]] >= key:
+            f += 1
+        best += fees[j - 1]
+        cost[j], back[j], key[j] = best, i, best + p
+        while queue and key[queue[-1]] >= best + p:
             queue.pop()
         queue.append(j)
     out, j = [], n
@@ -135,15 +155,8 @@ def pack_stream(documents: Iterator[tuple[object, np.ndarray]], ends: np.ndarray
 
     def flush() -> Iterator[tuple]:
         nonlocal number
-        points: list[int] = []
-        penalty: list[float] = []
-        base = 0
-        for _, ids in pending:
-            p, c = cut_points(ids, ends, min(stride, window))
-            points.extend((p + base).tolist())
-            penalty.extend(c.tolist())
-            base += len(ids)
-        bounds = [points[k] for k in best_cuts(points, penalty, window)]
+        points, penalty = cut_points(np.concatenate([ids for _, ids in pending]), np.cumsum([len(ids) for _, ids in pending]), ends, min(stride, window))
+        bounds = points[best_cuts(points, penalty, window)].tolist()
         w, opened, base = 0, 0, 0  # current window, where it opened, where the document starts
         for doc, ids in pending:
             at, n = 0, len(ids)
@@ -180,9 +193,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
         def tokenized() -> Iterator[tuple[object, np.ndarray]]:
             for ids, texts in batches:
                 for doc, text in zip(ids, texts, strict=True):
-                    tokens = enc.encode(text, allowed_special="all")
-                    tokens.append(end_id)
-                    yield doc, np.array(tokens, np.int64)
+                    yield doc, np.append(enc.encode_to_numpy(text, allowed_special="all"), np.uint32(end_id))
 
         out: list[tuple] = []
         for piece in pack_stream(tokenized(), ends, window):

@@ -4,7 +4,7 @@ A signature is an anchor (a very common word) with the chain of the next
 ``CHAIN`` content words after it; anchors themselves are never part of a chain.
 Where none of the last ``FEW`` content words follows an anchor, the word before counts
 as one, so that lists and very short texts have fingerprints too; as only the words
-just before decide, an edit changes no signatures far from it. A document's fingerprint is the set of its signatures' 32-bit hashes, written as
+just before decide, an edit changes no signatures far from it. A document's fingerprint is the set of its signatures' 64-bit hashes, written as
 sorted hexadecimal numbers. Likeness is the Jaccard coefficient of two sets.
 
 ``near_duplicates`` compares sets by length partitions: with likeness at least t
@@ -14,8 +14,10 @@ shares one of its n - ceil(t n) + 1 rarest with any match), and pairs whose size
 rule out t are pruned before the sets are compared. Equal sets are folded first.
 
 ``with_neighbours`` puts each document beside the next one in id order without
-gathering the table in one task: quantiles of the ids cut it into buckets, and the
-first rows of each bucket are repeated at the end of the one before.
+gathering the table in one task: quantiles of the ids, and even steps between them, cut
+it into buckets, and the first rows of each bucket are repeated at the end of the one
+before. At most ``COARSE * STEPS`` buckets bound what is collected and broadcast; a large
+bucket spills, as the window holds its rows in sorted order.
 
 Cases: null and empty texts are equal texts; a text without any signature has
 its own hash as only signature, so it is like equal texts alone; documents with one id follow
@@ -28,12 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from .common import checkpointed
 
 CHAIN = 2
 FEW = 8
 BUCKET_ROWS = 1500
-MOST_BUCKETS = 4096
+COARSE, STEPS = 1024, 64
 
 # Very common words of English, German, French and Spanish.
 ANCHORS = (
@@ -44,11 +47,6 @@ ANCHORS = (
 ).split()
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, whatever the optimizer inlines: a one-element array is mapped."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _common(word: Column) -> Column:
     return word.isin(*sorted(set(ANCHORS)))
 
@@ -70,20 +68,20 @@ def _chosen(content: Column) -> Column:
         hashed = F.xxhash64(s["before"], *[F.get(content, i + k)["w"] for k in range(CHAIN)])
         last = F.slice(content, F.greatest(i - (FEW - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(FEW)))
         counts = s["anchored"] | ~F.exists(last, lambda t: t["anchored"])
-        return F.when((i + (CHAIN - 1) < F.size(content)) & counts, hashed.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+        return F.when((i + (CHAIN - 1) < F.size(content)) & counts, hashed)
 
     return F.array_sort(F.array_distinct(F.filter(F.transform(content, chain), lambda c: c.isNotNull())))
 
 
 def signatures(text: Column) -> Column:
-    """Sorted set of signature hashes (ints) of a text column; never null or empty."""
-    own = F.xxhash64(F.lit("whole"), text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
+    """Sorted set of signature hashes (longs) of a text column; never null or empty."""
+    own = F.xxhash64(F.lit("whole"), text)
     found = let(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda words: let(_spots(words), _chosen))
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(own)))
 
 
 def text_form(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h.cast("long")), 8, "0")), "")
+    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -128,24 +126,32 @@ def near_duplicates(prints: DataFrame, likeness_at_least: float = 0.8, id_col: s
     return membership, scored.where(F.col("likeness") >= t)
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """Number of the bucket by binary search in rising lower bounds; the first has none."""
-    steps = 1 << max(len(bounds) - 1, 0).bit_length()
-    padded = F.array(*[F.lit(b).cast("long") for b in bounds])
-    deeper = lambda at, step: F.when((at + step < len(bounds)) & (F.get(padded, at + step) <= key), at + step).otherwise(at)
-    return F.aggregate(F.array(*[F.lit(steps >> k) for k in range(steps.bit_length())]), F.lit(0), deeper)
+def _bucket(key: Column, bounds: list[int], top: int, steps: int) -> Column:
+    """Number of the bucket: binary search in rising lower bounds, then even steps up to the next bound. It rises with the key."""
+    reach = 1 << max(len(bounds) - 1, 0).bit_length()
+    lows = F.array(*[F.lit(float(b)) for b in [*bounds, top]])
+    deeper = lambda at, step: F.when((at + step < len(bounds)) & (F.get(lows, at + step) <= key.cast("double")), at + step).otherwise(at)
+    cell = F.aggregate(F.array(*[F.lit(reach >> k) for k in range(reach.bit_length())]), F.lit(0), deeper)
+
+    def number(c: Column) -> Column:
+        low, high = F.get(lows, c), F.get(lows, c + 1)
+        share = F.when(high > low, (key.cast("double") - low) / (high - low)).otherwise(F.lit(0.0))
+        return c * steps + F.least(F.greatest(F.floor(share * steps), F.lit(0)), F.lit(steps - 1)).cast("int")
+
+    return let(cell, number)
 
 
 def with_neighbours(rows: DataFrame, carried: list[str], id_col: str = "doc_id", tie_col: str = "tie") -> DataFrame:
     """Each row with ``next_<column>`` of the next row by (id, tie) for the carried columns; the last one's next is the first."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    total, buckets = rows.count(), 1
-    bounds = [-(2**63)]
-    if total > BUCKET_ROWS:
-        buckets = min(MOST_BUCKETS, -(-total // BUCKET_ROWS))
-        cuts = rows.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 100 * buckets).alias("q")).first()["q"]
-        bounds = sorted({-(2**63), *cuts})
-    bucketed = rows.withColumn("_key", key).withColumn("_bucket", _bucket(F.col("_key"), bounds))
+    extent = rows.agg(F.count("*").alias("n"), F.min(id_col).cast("long").alias("low"), F.max(id_col).cast("long").alias("high")).first()
+    buckets = min(COARSE * STEPS, max(1, -(-extent["n"] // BUCKET_ROWS)))
+    cells = min(COARSE, buckets)
+    bounds = [extent["low"] or 0]
+    if cells > 1:
+        cuts = rows.agg(F.percentile_approx(key, [k / cells for k in range(1, cells)], 100 * cells).alias("q")).first()["q"]
+        bounds = sorted({*bounds, *(c for c in cuts if c > bounds[0])})
+    bucketed = rows.withColumn("_key", key).withColumn("_bucket", _bucket(F.col("_key"), bounds, extent["high"] or 0, -(-buckets // cells)))
     firsts = sorted((r["_bucket"], r["first"]) for r in bucketed.groupBy("_bucket").agg(F.min("_key").alias("first")).collect())  # one row a bucket
     halo = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
     repeats = F.broadcast(rows.sparkSession.createDataFrame(halo, "_key long, _before int"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, checkpointed, map_texts, sliced, training_rows
 
-PER_CLASS = 3000
+PER_CLASS = 5000
 MAX_CHARS = 20_000
 BUCKETS = 1 << 16
 DIM = 6
@@ -84,8 +84,11 @@ class Network:
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
 
     def project(self, ids: np.ndarray) -> np.ndarray:
-        """All filter columns' products with each word: n x (sum of WIDTHS * FILTERS)."""
-        return np.concatenate([self.tables[t][ids[:, t]] for t in range(TABLES)], axis=1) @ self.filters
+        """All filter columns' products with each word: n x (sum of WIDTHS * FILTERS).
+
+        Summed in double precision, so that a word's values do not depend on the words it comes with.
+        """
+        return np.concatenate([self.tables[t][ids[:, t]] for t in range(TABLES)], axis=1).astype(np.float64) @ self.filters.astype(np.float64)
 
 
 def _convolve(z: np.ndarray) -> np.ndarray:
@@ -115,14 +118,14 @@ def pooled(net: Network, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
     """(max-pooled filter values per document, language index per document), in bounded memory."""
     best = np.full((len(docs), len(WIDTHS) * FILTERS), -np.inf, np.float32)
     votes = np.zeros((len(docs), len(FUNCTION_WORDS)))
-    group: list[tuple[int, list[bytes]]] = []
+    group: list[tuple[int, list[bytes], bool]] = []
     size = 0
 
     def flush() -> None:
         nonlocal group, size
         if not group:
             return
-        flat, lengths, distinct = index_words([d for _, d in group])
+        flat, lengths, distinct = index_words([d for _, d, _ in group])
         z_distinct = np.zeros((len(distinct) + 1, net.filters.shape[1]), np.float32)
         vote_distinct = np.zeros((len(distinct), len(FUNCTION_WORDS)), np.float32)
         if distinct:
@@ -134,19 +137,26 @@ def pooled(net: Network, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
         stream = np.zeros(starts[-1], np.int64)
         stream[places] = flat + 1
         values = _convolve(z_distinct[stream])
+        counted = np.ones(len(flat), bool)
+        for row, (_, part, last) in enumerate(group):
+            # filters start at the words and once in the padding; what starts in the overlap belongs to the next chunk
+            values[starts[row] + (len(part) + 1 if last else CHUNK_WORDS) : starts[row + 1]] = -np.inf
+            if not last:
+                ahead = lengths[: row + 1].sum()
+                counted[ahead - lengths[row] + CHUNK_WORDS : ahead] = False
         top = np.maximum.reduceat(values, starts[:-1], axis=0)
-        for row, (doc, _) in enumerate(group):
+        for row, (doc, _, _) in enumerate(group):
             np.maximum(best[doc], top[row], out=best[doc])
-        owner = np.repeat([doc for doc, _ in group], lengths)
+        owner = np.repeat([doc for doc, _, _ in group], lengths)[counted]
         for lang in range(len(FUNCTION_WORDS)):
             if len(flat):
-                votes[:, lang] += np.bincount(owner, weights=vote_distinct[flat, lang], minlength=len(docs))
+                votes[:, lang] += np.bincount(owner, weights=vote_distinct[flat[counted], lang], minlength=len(docs))
         group, size = [], 0
 
     for doc, words in enumerate(docs):
         for lo in range(0, max(len(words), 1), CHUNK_WORDS):  # chunks overlap by the widest filter
             part = words[lo : lo + CHUNK_WORDS + PAD - 1]
-            group.append((doc, part))
+            group.append((doc, part, lo + CHUNK_WORDS >= len(words)))
             size += len(part)
             if size >= CHUNK_WORDS:
                 flush()
@@ -159,7 +169,7 @@ def logits(net: Network, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
     if not docs:
         return np.zeros(0), np.zeros(0, int)
     p, lang = pooled(net, docs)
-    return p @ net.out + net.out_bias, lang
+    return (p * net.out).sum(axis=1) + net.out_bias, lang
 
 
 def _initial(docs: list[list[bytes]], y: np.ndarray, rng: np.random.Generator) -> Network:
@@ -218,7 +228,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, batch: int = 64)
                 stream[places] = np.concatenate([ids[i] for i in rows])
             x = np.concatenate([net.tables[t][stream[:, t]] for t in range(TABLES)], axis=1)
             values = _convolve(x @ net.filters)
-            where = np.stack([values[a:b].argmax(axis=0) + a for a, b in zip(starts[:-1], starts[1:], strict=True)])
+            where = np.stack([values[a : a + n + 1].argmax(axis=0) + a for a, n in zip(starts[:-1], lengths, strict=True)])
             raw = np.take_along_axis(values, where, axis=0) + net.bias
             p = np.maximum(raw, 0)
             err = (1 / (1 + np.exp(-np.clip(p @ net.out + net.out_bias, -30, 30))) - y[rows]) / len(rows)

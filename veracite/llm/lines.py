@@ -83,11 +83,12 @@ HOT_LINES = 1024
 HOT_COUNT = 64
 
 
-def joined_by_line(places: DataFrame, facts: DataFrame, hot: DataFrame) -> DataFrame:
+def joined_by_line(places: DataFrame, facts: DataFrame, hot: DataFrame, on: tuple[str, ...] = ("h1", "h2")) -> DataFrame:
     """Places joined with the facts (one row a line) of their lines. The ``hot`` lines are known to every task and gather nowhere."""
-    known = F.broadcast(hot.select("h1", "h2"))
-    often = places.join(F.broadcast(facts.join(known, ["h1", "h2"], "left_semi")), ["h1", "h2"])
-    seldom = places.join(known, ["h1", "h2"], "left_anti").join(facts.join(known, ["h1", "h2"], "left_anti"), ["h1", "h2"])
+    keys = list(on)
+    known = F.broadcast(hot.select(*keys).distinct())
+    often = places.join(F.broadcast(facts.join(known, keys, "left_semi")), keys)
+    seldom = places.join(known, keys, "left_anti").join(facts.join(known, keys, "left_anti"), keys)
     return often.unionByName(seldom)
 
 
@@ -99,12 +100,12 @@ def repeated_lines(lines: DataFrame, several: DataFrame, hot: DataFrame) -> Data
     return later.unionByName(own.select("row", F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("line_no")))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
+def candidates(lines: DataFrame, hot: DataFrame) -> DataFrame:
     """(doc, line_no, row) of the first place of each distinct line that shares a half with a different line."""
     halves = lines.select("h1", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
     wanted = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    places = places_of(lines).join(wanted, "h1", "left_semi")
+    places = joined_by_line(places_of(lines), wanted, hot, ("h1",))
     return places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "row")).alias("at")).select("at.*")
 
 
@@ -174,7 +175,7 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = checkpointed(hashed_lines(documents, id_col, text_col, min_words))
     several = checkpointed(lines.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1"))
     hot = checkpointed(several.where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), "h1", "h2").limit(HOT_LINES))
-    near = checkpointed(near_lines(documents, checkpointed(candidates(lines)), id_col, text_col, min_words))
+    near = checkpointed(near_lines(documents, checkpointed(candidates(lines, hot)), id_col, text_col, min_words))
     altered = joined_by_line(places_of(lines), near, hot).select("row", "line_no")
     return repeated_lines(lines, several, hot).unionByName(altered).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 

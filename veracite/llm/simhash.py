@@ -14,15 +14,15 @@ the work is linear in the members.
 ``wide_groups`` (many words of 64 bits) finds texts of a shingle similarity of
 at least ``similarity``. Its fingerprints are majorities over the distinct shingles;
 the expected share of differing bits of two texts with Jaccard similarity J is
-acos(2J / (1 + J)) / pi. Each block of ``block_bits`` bits is one join key; the bits
-are shuffled and cut into blocks ``ROUNDS`` times, so that a pair at 0.8 meets with a
-chance above 0.999. Texts of few shingles, whose bits differ more often, also meet on
-their smallest shingle hashes, of which two such texts share one for certain. Pairs
-that meet are sifted by two words of their fingerprints, with a margin, and then
-decided by the exact Jaccard similarity of their shingle hashes.
-
-A member of a bucket is first compared with the first one near it only. Pairs that
-are in one component by then need no link; all others that met are compared next, so
+acos(2J / (1 + J)) / pi. Each block of ``block_bits`` bits is one join key; a pair at 0.8
+shares one of the 96 blocks of 16 bits with a chance above 0.999. Texts of few shingles, whose bits
+differ more often, also meet on their smallest shingle hashes, of which two such texts
+share one for certain. Pairs that meet are sifted by the Hamming distance of ``CHECKS``
+words of their fingerprints, at four deviations above the mean, and then decided by the
+exact Jaccard similarity of their shingle hashes.
+
+A member of a bucket is first compared with the first one near it only, and of all its
+buckets' first ones with the smallest. Pairs that are in one component by then need no link; all others that met are compared next, so
 a group of many near copies is linked by few comparisons, and the components
 are those of all pairs.
 
@@ -36,7 +36,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,7 @@ from .graph import components
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
 PART = 1 << 18
-ROUNDS = 3
+CHECKS = 6
 FEW_SHINGLES = 20
 
 
@@ -172,9 +174,9 @@ def groups(documents: DataFrame, words: int = 3, distance: int = 2, id_col: str
     return prints.join(named.join(names, "root").select("fp", "component_id"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
-    """Most differing bits of two shingle sets of this Jaccard similarity: the mean, a quarter more for small sets, and four deviations."""
-    rate = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+def allowed_bits(similarity: float, bits: int, few: bool = False) -> int:
+    """Most differing bits of two shingle sets of this Jaccard similarity: the mean, a quarter more where shingles are few, and four deviations."""
+    rate = (1.25 if few else 1.0) * math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * rate + 4 * math.sqrt(bits * rate * (1 - rate)))
 
 
@@ -243,17 +245,21 @@ def text_hash(text: str) -> int:
 
 
 def block_picks(bits: int, block_bits: int) -> np.ndarray:
-    """The bits of each block; the blocks of one round don't overlap."""
-    r = np.random.default_rng(SEED)
+    """The bits of each block, shuffled; blocks don't overlap."""
     blocks = bits // block_bits
-    return np.concatenate([r.permutation(bits)[: blocks * block_bits].reshape(blocks, block_bits) for _ in range(ROUNDS)])
+    return np.random.default_rng(SEED).permutation(bits)[: blocks * block_bits].reshape(blocks, block_bits)
+
+
+def check_names(size: int) -> list[str]:
+    return [f"c{k}" for k in range(min(CHECKS, size))]
 
 
 def block_keys(nodes: DataFrame, size: int, block_bits: int) -> DataFrame:
-    """(key, node, c0, c1) per node and block, and per smallest hash of a small set."""
+    """(key, node, c0, c1, ...) per node and block, and per smallest hash of a small set; the lowest check bit tells that a set is small."""
     picks = block_picks(size * 64, block_bits)
     powers = (1 << np.arange(block_bits)).astype(np.int32)
     tops = np.arange(len(picks), dtype=np.int64) << block_bits
+    names = ["key", "node", *check_names(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 256):
@@ -264,23 +270,31 @@ def block_keys(nodes: DataFrame, size: int, block_bits: int) -> DataFrame:
             bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").astype(np.int32)
             values = np.stack([bits[:, p] @ powers for p in picks], axis=1) + tops
             lows = batch.column("low")
+            few = lows.value_lengths().to_numpy()
             more = lows.flatten().to_numpy() & np.int64((1 << 62) - 1) | np.int64(1 << 62)
-            which = np.concatenate([np.repeat(np.arange(n), len(picks)), np.repeat(np.arange(n), lows.value_lengths().to_numpy())])
-            node = batch.column("node").to_numpy()
-            columns = [np.concatenate([values.ravel(), more]), node[which], fp[which, 0], fp[which, size - 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "c0", "c1"])
+            which = np.concatenate([np.repeat(np.arange(n), len(picks)), np.repeat(np.arange(n), few)])
+            checks = fp[:, : len(names) - 2].copy()
+            checks[:, 0] = checks[:, 0] & ~np.int64(1) | (few > 0)
+            columns = [np.concatenate([values.ravel(), more]), batch.column("node").to_numpy()[which], *checks[which].T]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return nodes.select("node", "fp", "low").mapInArrow(run, "key long, node long, c0 long, c1 long")
+    return nodes.select("node", "fp", "low").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def bucket_leads(key: np.ndarray, node: np.ndarray, c0: np.ndarray, c1: np.ndarray, rough: int, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_leads(key: np.ndarray, node: np.ndarray, checks: list[np.ndarray], similarity: float, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, first, lead) of the members, sorted by key, that are near another of their bucket: its first row, and the first row near the member.
 
     Of a bucket above ``cap`` all members, each with one of its leads near it.
     """
     n = len(key)
-    c0, c1 = c0.view(np.uint64), c1.view(np.uint64)  # bits of signed numbers are counted without the sign
-    near = lambda i, j: np.bitwise_count(c0[i] ^ c0[j]).astype(np.int64) + np.bitwise_count(c1[i] ^ c1[j]) <= rough
+    words = [c.view(np.uint64) for c in checks]  # bits of signed numbers are counted without the sign
+    small = (words[0] & np.uint64(1)).astype(bool)
+    tight, loose = (allowed_bits(similarity, 64 * len(words), few) for few in (False, True))
+
+    def near(i, j):
+        differ = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words)
+        return differ <= np.where(small[i] | small[j], loose, tight)
+
     starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
     sizes = np.diff(np.concatenate([starts, [n]]))
     first, met = np.repeat(starts, sizes), np.repeat(sizes > cap, sizes)
@@ -305,20 +319,22 @@ def bucket_leads(key: np.ndarray, node: np.ndarray, c0: np.ndarray, c1: np.ndarr
     return rows, node[first[rows]], node[lead[rows]]
 
 
-def meetings(keys: DataFrame, rough: int, cap: int) -> DataFrame:
-    """(key, first, lead, node, c0, c1) of the members of buckets that are near another one."""
+def meetings(keys: DataFrame, similarity: float, cap: int) -> DataFrame:
+    """(key, first, lead, node, c0, c1, ...) of the members of buckets that are near another one."""
+    checks = keys.columns[2:]
+    names = ["key", "first", "lead", "node", *checks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * (2 + len(checks))
 
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            rows, first, lead = bucket_leads(*cols, rough, cap)
-            out = [cols[0][rows], first, lead, cols[1][rows], cols[2][rows], cols[3][rows]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "first", "lead", "node", "c0", "c1"])
+            rows, first, lead = bucket_leads(cols[0], cols[1], cols[2:], similarity, cap)
+            out = [cols[0][rows], first, lead, *(c[rows] for c in cols[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
         waiting = []  # batches since the last whole bucket
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(4)]
+            cols = [c.to_numpy() for c in batch.columns]
             if not len(cols[0]):
                 continue
             waiting.append(cols)
@@ -333,7 +349,7 @@ def meetings(keys: DataFrame, rough: int, cap: int) -> DataFrame:
         if len(cols[0]):
             yield found(cols)
 
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, first long, lead long, node long, c0 long, c1 long")
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -360,21 +376,38 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared / (total - shared) >= similarity).select("u", "v")
 
 
-def wide_components(met: DataFrame, sets: DataFrame, similarity: float, rough: int) -> DataFrame:
+def unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends are not in one component yet."""
+    named = lambda side: roots.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))
+    both = pairs.join(named("u"), "u", "left").join(named("v"), "v", "left")
+    return both.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
+def wide_components(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of the nodes that are similar to another; see the module's text."""
-    links = checkpointed(similar(met.where("lead <> node").select(F.col("lead").alias("u"), F.col("node").alias("v")), sets, similarity))
-    roots = components(links)
+    pairs = checkpointed(met.where("lead <> node").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct())
+    links, roots = None, None
+    for few in (True, False):
+        # first each node with the first lead it met alone: most of a group is linked by so many comparisons as it has members
+        asked = pairs.groupBy("v").agg(F.min("u").alias("u")) if few else unlinked(pairs, roots)
+        found = checkpointed(similar(asked, sets, similarity))
+        links = found if links is None else links.unionByName(found)
+        roots = checkpointed(components(links))
     named = lambda side: roots.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))
-    placed = met.join(named("node"), "node", "left").join(named("first"), "first", "left")
-    placed = checkpointed(placed.select("key", "node", "c0", "c1", F.coalesce("node_root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root")))
+    rows = met.join(named("node"), "node", "left").join(named("first"), "first", "left")
+    checks = met.columns[4:]
+    placed = checkpointed(rows.select("key", "node", *checks, F.coalesce("node_root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root")))
     a, b = placed.where("root <> first_root").alias("a"), placed.alias("b")
-    near = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1"))) <= rough
+    differ = reduce(add, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in checks])
+    few = (F.col("a.c0").bitwiseOR(F.col("b.c0"))).bitwiseAND(F.lit(1)) == 1
+    tight, loose = (allowed_bits(similarity, 64 * len(checks), few) for few in (False, True))
+    near = differ <= F.when(few, loose).otherwise(tight)
     others = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & near)
     more = checkpointed(similar(others.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets, similarity))
-    return components(links.unionByName(more)) if more.take(1) else roots
+    return checkpointed(components(links.unionByName(more))) if more.take(1) else roots
 
 
-def wide_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 18, block_bits: int = 18, cap: int = 64, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
+def wide_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 24, block_bits: int = 16, cap: int = 64, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """One row (id, text_hash, root, component_id) per input row; components of texts of at least ``similarity``.
 
     ``text_hash`` is Spark's xxhash64 of the text with the seed 42. ``root`` names the component, also where ids repeat with other
@@ -382,11 +415,10 @@ def wide_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, s
     """
     prints = checkpointed(wide_prints(documents, words, similarity, size, id_col, text_col, id_type))
     nodes = checkpointed(prints.groupBy("node").agg(F.min(id_col).alias("rep"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("low").alias("low")))
-    rough = allowed_bits(similarity, 128)
-    met = checkpointed(meetings(block_keys(nodes, size, block_bits), rough, 8 * cap))
+    met = checkpointed(meetings(block_keys(nodes, size, block_bits), similarity, 8 * cap))
     wanted = met.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
     texts = documents.select(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash")
-    roots = wide_components(met, checkpointed(shingle_sets(texts, words)), similarity, rough)
+    roots = wide_components(met, checkpointed(shingle_sets(texts, words)), similarity)
     named = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return prints.select(id_col, "text_hash", "node").join(named.select("node", "root").join(names, "root"), "node", "left").select(id_col, "text_hash", "root", "component_id")

@@ -48,9 +48,29 @@ def awkward(spark, docs):
     return docs.unionByName(docs.where("doc_id < 3")).unionByName(extra)
 
 
+def small_models():
+    """A quality and a toxicity model, each trained on a few texts."""
+    r = random.Random(8)
+    texts, good, bad = [], [], []
+    for i in range(160):
+        w = words(40, 1000 + i)
+        bad.append(int(i % 3 == 0))
+        good.append(int(i % 2 == 0))
+        if bad[-1]:
+            w[r.randrange(40)] = "nastyone"
+        texts.append(" ".join(w) if good[-1] else "!! ".join(w).upper())
+    x = np.array([quality.features(t) for t in texts])
+    return quality.fit_pairs(x, np.array(good)), toxicity.train(texts, np.array(bad))
+
+
+QUALITY, TOXICITY = small_models()
+
 RUNS = {
-    "quality": lambda d: quality.score(d, None),
-    "toxicity": lambda d: toxicity.score(d, None),
+    "quality": lambda d: quality.score(d, QUALITY),
+    "toxicity": lambda d: toxicity.score(d, TOXICITY),
+    "no quality model": lambda d: quality.score(d, None),
+    "no toxicity model": lambda d: toxicity.score(d, None),
+    "keep_clean": lambda d: toxicity.keep_clean(d, None),
     "substrings": lambda d: substrings.dedup(d, with_text=True, carry=("lang", "row")),
     "simhash": lambda d: simhash.groups(d),
     "wide": lambda d: simhash.wide_groups(d, size=4, block_bits=16),
@@ -66,6 +86,8 @@ RUNS = {
 @pytest.mark.parametrize("name", RUNS)
 def test_awkward_rows_give_one_row_each(name, awkward):
     got = RUNS[name](awkward).collect()
+    if name in ("quality", "toxicity"):
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got) and len({r["score"] for r in got}) > 3
     if name == "packing":
         assert sum(r["start"] == 0 for r in got) == awkward.count()
     else:
@@ -82,27 +104,59 @@ def test_empty_tables(name, docs):
     assert RUNS[name](docs.where("doc_id < 0")).count() == 0
 
 
-@pytest.mark.parametrize("hot_count", [2, 24])
-def test_substrings_match_brute_force(docs, texts, monkeypatch, hot_count):
-    monkeypatch.setattr(substrings, "HOT_COUNT", hot_count)  # at 2 every repeated anchor is in the automaton's shard
-    got = {r["doc_id"]: r for r in substrings.dedup(docs).collect()}
-    count = collections.Counter()
-    for t in texts.values():
-        w = (t or "").encode().split()
-        count.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
-    for d, t in texts.items():
-        w = (t or "").encode().split()
+def removed_by_windows(texts, window=35):
+    """(words, gone) of each text: words under a window that starts at several places."""
+    split = {d: (t or "").encode().split() for d, t in texts.items()}
+    count = collections.Counter(tuple(w[i : i + window]) for w in split.values() for i in range(len(w) - window + 1))
+    out = {}
+    for d, w in split.items():
         gone = [False] * len(w)
-        for i in range(len(w) - 34):
-            if count[tuple(w[i : i + 35])] > 1:
-                gone[i : i + 35] = [True] * 35
+        for i in range(len(w) - window + 1):
+            if count[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out[d] = w, gone
+    return out
+
+
+def assert_removed(got, texts):
+    for d, (w, gone) in removed_by_windows(texts).items():
         kept = [x for x, g in zip(w, gone, strict=True) if not g]
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest()), d
 
 
+@pytest.mark.parametrize("hot_anchors", [0, 3, 512])
+@pytest.mark.parametrize("hot_count", [1, 4, 1024])
+def test_substrings_match_brute_force(spark, docs, texts, monkeypatch, hot_count, hot_anchors):
+    """With every repeated anchor in the shards, in the broadcast automaton, or told apart by hashes."""
+    monkeypatch.setattr(substrings, "HOT_COUNT", hot_count)
+    monkeypatch.setattr(substrings, "HOT_ANCHORS", hot_anchors)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 200)
+    if hot_count == 4:  # a passage that many texts share among words of their own
+        shared = words(50, 77)
+        more = {100 + k: " ".join(words(30 + k, 500 + k) + shared[k % 5 :] + words(40, 600 + k)) for k in range(20)}
+        texts = {**texts, **more}
+        docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    assert_removed({r["doc_id"]: r for r in substrings.dedup(docs).collect()}, texts)
+
+
+def test_substrings_of_long_repetitive_texts(spark, monkeypatch):
+    """One word 60,000 times, a short cycle, and seams of the parts; the broadcast shard stays small."""
+    monkeypatch.setattr(substrings, "PART", 1 << 10)
+    held = []
+    passages = substrings.reference_passages
+    monkeypatch.setattr(substrings, "reference_passages", lambda *given: held.extend(passages(*given)) or held)
+    lone = [f"u{k}" for k in range(5000)]
+    texts = {0: "same " * 60_000, 1: "a b c " * 2000, 2: " ".join(lone), 3: " ".join([*lone[1000:1100], "x", *lone[2040:2090], "same"]), 4: "b c a " * 15}
+    assert_removed({r["doc_id"]: r for r in substrings.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}, texts)
+    assert held and sum(len(words) for _, _, words in held) < 1000
+
+
 def test_automaton_matching_statistics():
     passages = [(1, 0, [b"a", b"b", b"c", b"a", b"b", b"d"]), (2, 5, [b"b", b"d", b"x"])]
     auto = substrings.Automaton(passages)
+    several = auto.several([1] * 11)
+    assert auto.repeated(passages[0][2], 2, several) == [0, 3, 4] and auto.repeated(passages[1][2], 2, several) == [0]
+    assert auto.repeated(passages[1][2], 2, auto.several([1] * 7 + [2] * 4)) == [0, 1]
     stream = [b"z", b"a", b"b", b"d", b"x", b"a", b"b", b"c", b"a"]
     flat = [w for _, _, p in passages for w in [*p, None]]
     for least in (2, 3, 4):
@@ -159,11 +213,11 @@ def test_simhash_links_of_crowded_buckets(spark, cap, distance):
 
 def test_simhash_rows_without_an_id_link_others(spark, monkeypatch):
     """Fingerprints 0 - 3 (of a null id only) - 15: one component."""
-    marks = {"a": 0, "b": 3, "c": 15, "d": 1 << 40}
+    marks = {"a": 0, "b": 3, "c": 15, "d": 255 << 40}
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.replace({k: str(v) for k, v in marks.items()}, subset="text").select("doc_id", F.array(F.col("text").cast("long")).alias("fp")))
     docs = spark.createDataFrame([(5, "a"), (None, "b"), (9, "c"), (None, "d"), (None, "a")], "doc_id long, text string")
-    got = sorted(((r["doc_id"] or 0, r["fingerprint"][-2:], r["component_id"] or 0) for r in simhash.groups(docs).collect()))
-    assert got == [(0, "00", 0), (0, "00", 5), (0, "03", 5), (5, "00", 5), (9, "0f", 5)]
+    got = sorted((r["doc_id"] or 0, int(r["fingerprint"], 16), r["component_id"] or 0) for r in simhash.groups(docs).collect())
+    assert got == [(0, 0, 5), (0, 3, 5), (0, 255 << 40, 0), (5, 0, 5), (9, 15, 5)]
 
 
 def test_wide_groups_find_similar_texts(docs):
@@ -204,7 +258,6 @@ def test_packing_keeps_every_token(docs, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
     rows = packing.pack(docs, path).collect()
     ids = collections.defaultdict(list)
@@ -299,6 +352,21 @@ def test_spotsigs_match_brute_force(docs, texts):
         assert r["near_edited"] == pytest.approx(like(signatures(t), signatures(edited))) and r["near_next"] == pytest.approx(like(signatures(t), signatures(following)))
 
 
+def test_spotsigs_next_documents_over_bucket_seams(spark, monkeypatch):
+    """Thousands of rows, gaps between the ids, repeated and null ones: each row's next is the next by id, then by the text's hash."""
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(spotsigs, "COARSE", 8)
+    r = random.Random(6)
+    ids = [None, None, -5, *sorted(r.sample(range(100), 60)), *range(1000, 3000), *[5000] * 90, *range(10**12, 10**12 + 50), 2**62]
+    rows = [(i, f"the c{k} d{k} " + "x" * (k % 9)) for k, i in enumerate(ids)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5).withColumn("tie", F.xxhash64("text"))
+    ordered = sorted(df.collect(), key=lambda x: (-(2**63) if x["id"] is None else x["id"], x["tie"]))
+    want = {x["text"]: ordered[(k + 1) % len(ordered)]["text"] for k, x in enumerate(ordered)}
+    got = {x["text"]: x["next_text"] for x in spotsigs.with_neighbours(df, ["text"], "id").collect()}
+    assert got == want and len(want) == len(rows)
+
+
 def test_spotsigs_near_duplicates(docs):
     membership, pairs = spotsigs.near_duplicates(spotsigs.fingerprints(docs), 0.8)
     classes = {r["doc_id"]: r["class_id"] for r in membership.collect()}
@@ -411,3 +479,124 @@ def test_spotsigs_count_of_anchors_does_not_change_the_kind_of_set(spark):
     got = {r["doc_id"]: set(r["signatures"]) for r in spotsigs.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert len(got[0]) > 100 and len(got[0] - got[1]) <= 2
     assert len(got[1] - got[0]) <= 45
+
+
+def test_ann_ties_repeats_and_dimensions(spark):
+    """Equal scores go to smaller ids; one id with two vectors is two rows; vectors meet those of their dimension."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 8))
+    x[100:140] = x[5]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[40].tolist()), (20, x[20].tolist())]
+    rows += [(1000 + i, rng.normal(size=3).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    distinct = [(i, tuple(v)) for i, v in rows[:301]]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, shard_rows=64, query_block=4, probe=1.0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    for q in (0, 20, 100, 120, 1000, 1020):
+        pool = distinct if q < 1000 else [(i, tuple(v)) for i, v in rows[302:]]
+        want = []
+        for own in [v for v in pool if v[0] == q]:
+            others = [(round(-float(np.dot(own[1], v)), 9), i) for i, v in pool if (i, v) != own]
+            want += [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(others)[:20])]
+        assert sorted(got[q]) == sorted(want), q
+
+
+def test_ann_visits_few_cells_where_vectors_have_structure(spark):
+    """Clusters far apart: the fitted reach leads each query to a part of the cells, and recall stays."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 10
+    x = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    reach = ann.fitted_reach(x, 5, len(x), 10)
+    visited = [len(ann.cells_within(m, reach)) for m in ann.margins(x[:200], 5)]
+    assert np.mean(visited) < 12
+    hits, found = 0, ann.nearest(rows, F.col("vec_id") % 20 == 0, k=10, shard_rows=63).collect()
+    for r in found:
+        scores = x @ x[r["query_id"]]
+        scores[r["query_id"]] = -np.inf
+        hits += scores[r["vec_id"]] >= np.sort(scores)[-10]
+    assert len(found) == 1000 and hits >= 900
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e\nx", 7, "r", "g"), (2, "x\na b c d e", 8, "r", "g"), (3, None, 9, None, None)], "doc_id long, text string, _row long, row string, _gone string")
+    got = {r["doc_id"]: r for r in lines.dedup(docs).collect()}
+    assert got[2]["text"] == "" and got[1]["text"] == "a b c d e\nx" and got[3]["text"] is None
+    assert [got[k]["_row"] for k in (1, 2, 3)] == [7, 8, 9] and got[1]["_gone"] == "g" and got[2]["n_removed"] == 2
+
+
+def test_lines_that_very_many_texts_share(spark, monkeypatch):
+    """The same result whether a frequent line is known to every task or not."""
+    line, other = " ".join(words(12, 5)), " ".join(words(9, 6))
+    rows = [(k, f"{line}\nown {k} words stand here\n{line if k % 2 else other}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = sorted(map(tuple, lines.line_counts(docs).collect()), key=str)
+    monkeypatch.setattr(lines, "HOT_LINES", 0)
+    assert known == sorted(map(tuple, lines.line_counts(docs).collect()), key=str)
+    assert sum(r[2] for r in known) > 400
+
+
+def test_pieces_of_texts_without_spaces(spark, monkeypatch):
+    """Units longer than a tile are cut where no piece spans the cut; a text of one repeated character has few such places."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "TILE", 100)
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(12)
+    texts = ["".join(r.choice("abcdefgh日本語中文,.") for _ in range(n)) for n in (99, 100, 101, 2500)] + ["a" * 1500, "日" * 400 + " end"]
+    coded = pieces.Encoder(path).encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in coded] == [sp.encode(t) for t in texts]
+
+
+def test_parts_and_blocks_join_without_a_seam(monkeypatch):
+    """Bounded parts give what one part gives: shingles, anchors, word chunks of the network, packed blocks."""
+    text = " ".join(words(700, 40))
+    whole = np.concatenate(list(simhash.shingle_hashes(text, 3)))
+    w = [x.encode() for x in text.split()]
+    h = substrings.word_hashes(w)
+    anchors = [np.concatenate(c) for c in zip(*[(p, v) for _, p, v in substrings.anchors(h, 35)])]  # noqa: B905
+    scores = toxicity.score_texts(TOXICITY, [text, "nastyone " + text, text + " nastyone", "short"])
+    monkeypatch.setattr(simhash, "PART", 64)
+    monkeypatch.setattr(substrings, "PART", 64)
+    monkeypatch.setattr(toxicity, "CHUNK_WORDS", 50)
+    assert (np.concatenate(list(simhash.shingle_hashes(text, 3))) == whole).all()
+    parts = [np.concatenate(c) for c in zip(*[(p, v) for _, p, v in substrings.anchors(h, 35)])]  # noqa: B905
+    assert all((a == b).all() for a, b in zip(anchors, parts, strict=True))
+    assert np.allclose(toxicity.score_texts(TOXICITY, [text, "nastyone " + text, text + " nastyone", "short"]), scores, atol=1e-5)
+    r = np.random.default_rng(2)
+    ids = [r.integers(2, 50, n).astype(np.int64) for n in (3, 900, 1, 40, 5000)]
+    ends = np.zeros(64, bool)
+    ends[::7] = True
+    for block in (64, 1 << 18):
+        pieces_of = list(packing.pack_stream(enumerate(ids), ends, window=64, block=block, stride=16))
+        assert all(sum(p[2] for p in pieces_of if p[0] == d) == len(x) for d, x in enumerate(ids))
+        offsets = collections.defaultdict(int)
+        for _, _, n, _, _, number, offset in pieces_of:
+            assert offsets[number] == offset
+            offsets[number] += n
+        assert max(offsets.values()) <= 64
+
+
+def test_scores_equal_a_plain_computation():
+    """The network's chunked, shared products against one window at a time; the ranking's score against its formula."""
+    texts = ["w1 w2 nastyone w3", "", "w5", " ".join(words(60, 3))]
+    net = TOXICITY
+    widths = [(w, sum(toxicity.WIDTHS[:i]) * toxicity.FILTERS) for i, w in enumerate(toxicity.WIDTHS)]
+    for text, score in zip(texts, toxicity.score_texts(net, texts), strict=True):
+        tokens = toxicity.words_of(text)
+        x = np.array([np.concatenate([net.tables[t][i] for t, i in enumerate(toxicity.word_ids(w))]) for w in tokens] + [np.zeros(toxicity.TABLES * toxicity.DIM)] * toxicity.PAD)
+        pooled = []
+        for width, at in widths:
+            for f in range(toxicity.FILTERS):
+                starts = range(len(tokens) + toxicity.PAD)
+                pooled.append(max(sum(x[i + j] @ net.filters[:, at + j * toxicity.FILTERS + f] for j in range(width) if i + j < len(x)) for i in starts))
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+        votes = [sum(w.decode() in toxicity.FUNCTION_WORDS[lang] for w in tokens) for lang in toxicity.FUNCTION_WORDS]
+        lang = int(np.argmax(votes)) if max(votes) else len(votes)
+        assert score == pytest.approx(1 / (1 + np.exp(-(z - net.thresholds[lang] + np.log(0.7 / 0.3)))), abs=1e-4)
+    for text in texts:
+        x = quality.features(text)
+        z = float((x - QUALITY.mean) / QUALITY.scale @ QUALITY.weights) - QUALITY.threshold
+        assert QUALITY.score(x) == pytest.approx(1 / (1 + np.exp(-z) * 0.3 / 0.7))

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veracite.operators import archive, assemble
+from veracite.operators.recheck import recheck
+from veracite.plans import analytics
 from veracite.operators.ladder import attempted
 from veracite.operators.rules import RuleSet, load_rules
 from veracite.operators.signals import with_signals
@@ -65,6 +67,45 @@ def test_evidence_shows_the_claim(reads):
             assert e["excerpt"] is None or any(c in e["excerpt"] for c in e["claims"])
 
 
+def test_a_run_counts_orphans_and_broken_rows(spark):
+    results = spark.createDataFrame([("supported", 1), ("unreachable", 0)], "verdict string, status int")
+    lost = spark.createDataFrame([(1, "k")], "doc_id long, key string")
+    exit_of = lambda **given: assemble.run_exit(results, **given).first()
+    assert exit_of()["exit_code"] == 0 and exit_of(orphaned=lost)["orphaned"] == 1 and exit_of(orphaned=lost)["exit_code"] == 0
+    assert exit_of(orphaned=lost, fail_on_orphaned=True)["exit_code"] == 1 and exit_of(fail_on_unreachable=True)["exit_code"] == 1
+    assert exit_of(infrastructure=F.col("status") == 0, fail_on_unreachable=True)["exit_code"] == 2
+
+
+def test_recheck_against_an_archive_and_without_one(spark, reads):
+    citations = reads.select("url", "claims").distinct()
+    raw = reads.select("url", "rung", "rung_ord", "status", "headers", "final_url", "raw_body", "body_kind")
+    entries = archive.entries(attempted(reads), assemble.judge(reads), "1.0", F.lit("2026-01-01"))
+    gone = raw.withColumn("raw_body", F.when(F.col("url").endswith("/first"), F.lit(DOC.replace("committee", "council"))).otherwise(F.col("raw_body")))
+    drift, live = recheck(gone, citations, entries, archive.blobs(raw), "1.0")
+    got = {r["url"]: r["category"] for r in drift.collect()}
+    assert got["https://a.com/first"] == "sourceDrift" and got["https://a.com/two-short"] == "clean" and got["https://a.com/moved"] == "noBaseline"
+    assert {r["url"]: r["verdict"] for r in live.collect()}["https://a.com/first"] == "unsupported"
+    drift, _ = recheck(raw, citations, None, None, "1.0")
+    assert {r["category"] for r in drift.collect()} == {"noBaseline"}
+
+
+def test_movement_of_verdicts(spark):
+    schema = "url string, verdict string, rungs_attempted array<string>"
+    before = spark.createDataFrame([("a", "supported", ["node"]), ("b", "unreachable", ["node"]), ("c", "unsupported", ["node"])], schema)
+    after = spark.createDataFrame([("a", "supported", ["node"]), ("b", "supported", ["node", "curl"]), ("c", "supported", ["node"])], schema)
+    moved = analytics.moved_rows(before, after)
+    assert analytics.movement_summary(moved).first().asDict() == {"urls": 3, "moved": 2, "rungs_changed": 1, "same_rungs": 1}
+    for wrong in (analytics.moved_rows(before, after.limit(2)), analytics.moved_rows(before.limit(0), after.limit(0))):
+        with pytest.raises(Exception, match="only one result set|no rows"):
+            analytics.movement_summary(wrong).collect()
+
+
+def test_spans_per_pair_count_pairs_without_any(spark):
+    pairs = spark.createDataFrame([(1, "the old harbour wall was rebuilt in stone", 7, "they say the old harbour wall was rebuilt"), (1, "the old harbour wall was rebuilt in stone", 8, "nothing alike here")], "draft_id long, draft string, source_id long, source string")
+    rows = {r["seed"]: r for r in analytics.seed_sweep(pairs, (8, 21, 60)).collect()}
+    assert (rows[21]["pairs"], rows[21]["mean"], rows[21]["most"], rows[21]["most_above"]) == (2, 0.5, 1, 1) and rows[60]["most"] == 0
+
+
 def test_drift_table(spark):
     rows = [
         (None, "supported", None, False, 0, "noBaseline"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import url
 from ..functions.bind import let
 from ..functions.excerpt import excerpts_udf, merged_evidence
+from ..sources.shared import checkpointed
 from .ladder import PDF_RUNG, attempted, has_untried_rung, ladder_truncated
 from .signals import verdict
 
@@ -88,6 +89,7 @@ def judge(reads: DataFrame) -> DataFrame:
 
 def with_evidence(judged: DataFrame, reads: DataFrame) -> DataFrame:
     """Add ``evidence`` for supported and unsupported URLs: passages by locating read, overlapping ones merged."""
+    judged = checkpointed(judged)
     shown = judged.where(F.col("verdict").isin("supported", "unsupported")).select("url", "claims", "rungs_attempted")
     sources = reads.join(shown.select("url", "rungs_attempted"), "url").where("not blocked and array_contains(rungs_attempted, rung)")
     pairs = sources.select("url", "rung", "rung_ord", "regions", F.explode("matched_claims").alias("claim"))

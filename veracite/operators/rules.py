@@ -132,6 +132,11 @@ def signature_rule(norm_regions: Column, rules: RuleSet) -> Column:
     return first_rule(rules.signatures, lambda p: F.exists(norm_regions, lambda r: r.rlike(p)))
 
 
+def flat_signature_rule(norm_regions: Column, rules: RuleSet) -> Column:
+    """First signature that the regions match as one text; it may match across two of them."""
+    return first_rule(rules.signatures, lambda p: F.array_join(norm_regions, " ").rlike(p))
+
+
 def path_rule(final_url: Column, rules: RuleSet) -> Column:
     return first_rule(rules.paths, lambda p: final_url.rlike(p))
 

@@ -81,6 +81,14 @@ def signature_rule(normed: str) -> str:
     return f"(case {cases} end)"
 
 
+PATHS = (r"/cdn-cgi/challenge-platform/", r"/sorry/index", r"/(captcha|challenge|px-captcha)(/|$|\?)", r"^https?://consent\.[^/?#]+([/?#]|$)")
+
+
+def path_rule(url: str) -> str:
+    cases = " ".join(f"when regexp_matches({url}, '{p}') then {i}" for i, p in enumerate(PATHS))
+    return f"cast(case {cases} end as int)"
+
+
 PAGES = f"""
 p0 as (select page_id, url, html, {body("html")} as body from pages),
 p1 as (select *, string_split(body, ' ') as w from p0),

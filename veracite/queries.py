@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import extract, text, url
-from .operators import archive, assemble, footnotes, harvest, ladder, rules, signals
+from .operators import archive, assemble, footnotes, harvest, ladder, proposals, recheck, rules, signals
 from .plans import analytics
-from .sources.tables import pages_with_claims, raw_reads, signalled_reads, table
+from .sources.shared import checkpointed
+from .sources.tables import pages_with_claims, raw_reads, signalled_reads, table, texts
 from .thresholds import THRESHOLDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,17 +36,18 @@ def query(sql: str | None = None):
 
 @query(f"select page_id, {O.body('html')} as body from pages")
 def extract_body(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", extract.body_text(F.col("html")).alias("body"))
+    return texts(spark, sf_dir, "pages").select("page_id", extract.body_text(F.col("html")).alias("body"))
 
 
 @query(f"select page_id, cast(length({O.body('html')}) as int) as prose_chars from pages")
 def prose_chars(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.utf16_length(extract.body_text(F.col("html"))).alias("prose_chars"))
+    return texts(spark, sf_dir, "pages").select("page_id", text.utf16_length(extract.body_text(F.col("html"))).alias("prose_chars"))
 
 
 @query(
     r"""select page_id, regexp_matches(html, '(?i)<meta[^>]+property=["'']og:type["''][^>]+content=["'']article["'']|"@type"\s*:\s*"(NewsArticle|Article|Report)"|"datePublished"') as head_markers,
-    page_id % 5 = 0 as looks_binary from pages"""
+    1.0 - length(regexp_replace(sample, '[\x{FFFD}\x00-\x08\x0E-\x1F]', '', 'g')) / length(sample) > 0.01 as looks_binary
+    from (select *, substr(case when page_id % 5 = 0 then repeat(chr(1), 2000) || html else html end, 1, 65536) as sample from pages)"""
 )
 def page_markers(spark, sf_dir):
     """Head markers, and the binary test with control characters put into every fifth page."""
@@ -53,8 +55,13 @@ def page_markers(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", extract.head_markers(F.col("html")).alias("head_markers"), extract.looks_binary(body).alias("looks_binary"))
 
 
+_SYNTH = """'<p>' || '</p>' || html || '<META NAME="Description" data-content="no" content=" About page ' || page_id || ' &amp; &quot;more&quot;. ">'
+    || '<!-- <meta name="description" content="commented"> --><template><meta name="description" content="inert"></template><script><meta name="description" content="code"></script>'
+    || '<meta property="og:description" content="About page ' || page_id || ' &amp; &quot;more&quot;.">' || '<meta content=''Second &lt;' || (page_id % 3) || '&gt;'' name=''author'' property=''twitter:description''/>'"""
+
+
 @query(
-    f"""with b as (select page_id, {O.body("html")} as body from pages)
+    f"""with b as (select page_id, {O.body(f"({_SYNTH})")} as body from pages)
     select page_id, [r for r in [body, 'About page ' || page_id || ' & "more".', 'Second <' || (page_id % 3) || '>'] if r <> ''] as regions from b"""
 )
 def regions_synth_meta(spark, sf_dir):
@@ -65,14 +72,12 @@ def regions_synth_meta(spark, sf_dir):
     second = F.concat(F.lit("<meta content='Second &lt;"), (F.col("page_id") % 3).cast("string"), F.lit("&gt;' name='author' property='twitter:description'/>"))
     inert = F.lit('<!-- <meta name="description" content="commented"> --><template><meta name="description" content="inert"></template><script><meta name="description" content="code"></script>')
     html = F.concat(F.lit("<p>"), F.lit("</p>"), F.col("html"), first, inert, twice, second)
-    body = extract.body_text(F.col("html"))
-    found = extract.html_regions(html)
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.array(body), F.slice(found, 2, 100)).alias("regions"))
+    return texts(spark, sf_dir, "pages").select("page_id", extract.html_regions(html).alias("regions"))
 
 
 @query(f"select doc_id, {O.norm('text')} as normed from documents")
 def norm_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("normed"))
+    return texts(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("normed"))
 
 
 @query(
@@ -143,7 +148,7 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 )
 def slug_overlap(spark, sf_dir):
     label = F.coalesce(F.get(F.split("html", " "), 6), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", text.slug_label_overlap(extract.body_text(F.col("html")), url.pathname(F.col("url")), label).alias("overlap"))
+    return texts(spark, sf_dir, "pages").select("page_id", text.slug_label_overlap(extract.body_text(F.col("html")), url.pathname(F.col("url")), label).alias("overlap"))
 
 
 # --- footnotes and claims -----------------------------------------------------
@@ -212,7 +217,7 @@ def orphaned_claims(spark, sf_dir):
 
 
 @query(
-    f"""with {O.READS} select page_id, rung, challenge_header, false as challenge_path, challenge_signature, document_gone, not_text, blocked, readable, signature_rule, verdict from reads"""
+    f"""with {O.READS} select page_id, rung, challenge_header, {O.path_rule("landed")} is not null as challenge_path, challenge_signature, document_gone, not_text, blocked, readable, signature_rule, verdict from reads"""
 )
 def veto_matrix(spark, sf_dir):
     return signalled_reads(spark, sf_dir).select(
@@ -221,7 +226,8 @@ def veto_matrix(spark, sf_dir):
 
 
 @query(
-    """select page_id, cast(case when page_id % 6 = 0 then 0 when page_id % 6 = 1 then 1 when page_id % 6 = 2 then 2 when page_id % 6 = 3 then 3 end as int) as rule from pages"""
+    f"""select page_id, {O.path_rule("landed")} as rule from (select page_id, case page_id % 6 when 3 then 'https://consent.example.com' else 'https://e.com'
+    || ['/cdn-cgi/challenge-platform/x', '/sorry/index?a=1', '/px-captcha', '', '/captchas', '/about/consent/'][page_id % 6 + 1] end as landed from pages)"""
 )
 def challenge_path(spark, sf_dir):
     tails = ("/cdn-cgi/challenge-platform/x", "/sorry/index?a=1", "/px-captcha", None, "/captchas", "/about/consent/")
@@ -308,7 +314,7 @@ def run_exit(spark, sf_dir):
 
 @query(f"with d as (select doc_id, {O.norm('text')} as t from documents), b as (select item_id, {O.norm('text')} as t from benchmark) select doc_id, item_id from d join b on contains(d.t, b.t)")
 def contains_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("d"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("d"))
     items = table(spark, sf_dir, "benchmark").select("item_id", text.norm(F.col("text")).alias("b"))
     return harvest.contains_join(docs, items, "doc_id", "d", "item_id", "b")
 
@@ -325,12 +331,15 @@ def drop_contained(spark, sf_dir):
     return harvest.drop_contained(spans, ["g"], "o").select("g", "o")
 
 
-@query()
+@query(
+    f"""with d as (select doc_id, {O.norm("text")} as t from documents), b as (select item_id, text, {O.norm("text")} as t from benchmark)
+    select item_id as draft_id, doc_id as source_id, {O.collapse("b.text")} as span from b join d on contains(d.t, b.t)"""
+)
 def span_mining(spark, sf_dir):
-    """Spans that benchmark passages (drafts) share with documents (sources), after the gram prune."""
+    """Spans that benchmark passages (drafts) share with documents (sources), after the gram prune: here always the whole passage."""
     drafts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("draft_id"), F.col("text").alias("draft"))
-    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source"))
-    return harvest.mine_spans(harvest.prune_pairs(drafts, sources))
+    sources = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source"))
+    return harvest.mine_spans(harvest.prune_pairs(drafts, sources)).select("draft_id", "source_id", "span")
 
 
 _SPAN_ROWS = f"""{O.PAGES},
@@ -359,6 +368,35 @@ def filter_drops(spark, sf_dir):
     return harvest.drop_counts(filter_attribution(spark, sf_dir))
 
 
+def _harvested(spark, sf_dir):
+    """Documents of ten pages that each copy a sentence of every page, and a claims file that claims some already."""
+    pages = pages_with_claims(spark, sf_dir)
+    quoted = pages.select(F.floor(F.col("page_id") / 10).alias("doc_id"), "page_id", F.concat(F.lit("Zq "), F.coalesce(F.get("claims", 0), F.lit("")), F.lit(" qZ.")).alias("part"))
+    prose = quoted.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "part"))), lambda p: p["part"]), "\n").alias("prose"))
+    claims = footnotes.refuse_problems(footnotes.parse_claims(_claims_files(pages)))
+    reads = ladder.attempted(signalled_reads(spark, sf_dir))
+    return proposals.harvest(prose, footnotes.parse_footnotes(_markdown(pages)), claims, reads)
+
+
+@query(
+    f"""with {O.CLIMBED}, {_NOTES}, {_CLAIMS}, ok as (select url, max(readable::int) = 1 as readable from climbed where attempted group by url),
+    s as (select n.doc_id, n.url, case when c.na then 'skipped' when ok.readable then 'readable' else 'unreachable' end as status
+      from notes n left join claims c on n.doc_id = c.doc_id and {O.normalize_url("n.url")} = c.key left join ok on ok.url = n.url where n.url is not null)
+    select doc_id, count(*) filter (status = 'readable') as readable, count(*) filter (status = 'unreachable') as unreachable, count(*) filter (status = 'skipped') as skipped,
+      count(*) filter (status = 'readable') < 2 as frequency_vacuous from s group by doc_id"""
+)
+def harvest_totals(spark, sf_dir):
+    found, scan = _harvested(spark, sf_dir)
+    return proposals.totals(found, scan).drop("proposals")
+
+
+@query()
+def harvest_proposals(spark, sf_dir):
+    """What each readable source lets its document claim; how spans are found and filtered is checked in tests."""
+    found, _ = _harvested(spark, sf_dir)
+    return found.select("doc_id", "key", "url", "rungs", "claims", "drops.*", "floor_messages", "notes")
+
+
 # --- archive and drift --------------------------------------------------------
 
 
@@ -370,7 +408,7 @@ def archive_blobs(spark, sf_dir):
 def _archive(spark, sf_dir):
     """The archive of the first run, with a changed claims hash for every 13th page and an older tool for every 17th."""
     reads = ladder.attempted(signalled_reads(spark, sf_dir))
-    made = archive.entries(reads, _judged(spark, sf_dir), "1.0", F.lit("2026-01-01T00:00:00Z"))
+    made = checkpointed(archive.entries(reads, _judged(spark, sf_dir), "1.0", F.lit("2026-01-01T00:00:00Z")))
     numbered = made.join(table(spark, sf_dir, "pages").select("url", "page_id"), "url")
     changed = numbered.withColumn("claims_hash", F.when(F.col("page_id") % 13 == 0, F.lit("other")).otherwise(F.col("claims_hash")))
     return changed.withColumn("tool_version", F.when(F.col("page_id") % 17 == 0, F.lit("0.9")).otherwise(F.col("tool_version")))
@@ -394,12 +432,8 @@ def _drift(spark, sf_dir):
     n = F.col("page_id")
     live = raw.withColumn("raw_body", F.when(n % 5 == 0, F.repeat(F.lit("<p>another text stands here now.</p>"), 400)).otherwise(F.col("raw_body")))
     live = live.withColumn("status", F.when(n % 8 == 0, F.lit(410)).otherwise(F.col("status")))
-    judged = assemble.judge(signals.with_signals(live))
-    kept = _archive(spark, sf_dir)
-    blobs = archive.blobs(raw)
-    again = archive.replay(kept, blobs).join(raw.select("url", "claims").distinct(), "url")
-    replayed = assemble.judge(signals.with_signals(again))
-    return archive.compare(judged, kept, replayed, "1.0")
+    citations = raw.select("url", "claims").distinct()
+    return recheck.recheck(live, citations, _archive(spark, sf_dir), archive.blobs(raw), "1.0")[0]
 
 
 _DRIFT = f"""with {O.JUDGED},
@@ -461,10 +495,14 @@ def refused_at(spark, sf_dir):
     return analytics.refused_at(claims.select(text.utf16_length(text.norm(F.col("claim"))).alias("n")))
 
 
-@query("select cast(case when page_id % 4 = 0 then 2 else 1 end as int) as regions, count(*) as pages from pages group by 1")
+@query(
+    f"""with d as (select case when page_id % 4 = 0 then html || '<meta name="description" content="One more.">' else html end as html from pages),
+    r as (select list_distinct(regexp_extract_all(html, '<meta name="description" content="([^"]+)"', 1)) as described, {O.body("html")} as body from d)
+    select cast(len(described) + (case when body <> '' then 1 else 0 end) as int) as regions, count(*) as pages from r group by 1"""
+)
 def region_histogram(spark, sf_dir):
     described = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit('<meta name="description" content="One more.">'))).otherwise(F.col("html"))
-    pages = table(spark, sf_dir, "pages").select(extract.html_regions(described).alias("regions"))
+    pages = texts(spark, sf_dir, "pages").select(extract.html_regions(described).alias("regions"))
     return pages.groupBy(F.size("regions").alias("regions")).agg(F.count("*").alias("pages"))
 
 
@@ -491,18 +529,46 @@ def verdict_movement(spark, sf_dir):
 )
 def gain_distribution(spark, sf_dir):
     described = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit('<meta name="description" content="page '), F.col("page_id").cast("string"), F.lit('">'))).otherwise(F.col("html"))
-    pages = table(spark, sf_dir, "pages").select(text.utf16_length(extract.body_text(F.col("html"))).alias("before"), text.utf16_length(F.array_join(extract.html_regions(described), " ")).alias("after"))
+    pages = texts(spark, sf_dir, "pages").select(text.utf16_length(extract.body_text(F.col("html"))).alias("before"), text.utf16_length(F.array_join(extract.html_regions(described), " ")).alias("after"))
     return analytics.gain_distribution(pages)
 
 
 @query(f"select page_id, sha256({O.body('html')}) as fidelity from pages")
 def fidelity_hash(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.sha256_hex(F.array_join(extract.html_regions(F.col("html")), " ")).alias("fidelity"))
+    return texts(spark, sf_dir, "pages").select("page_id", text.sha256_hex(F.array_join(extract.html_regions(F.col("html")), " ")).alias("fidelity"))
 
 
 @query(f"with n as (select {O.norm('text')} as t from documents), g as (select unnest(list_distinct([substr(t, i, 21) for i in range(1, greatest(length(t) - 20, 1) + 1) if length(t) >= 21])) as gram from n) select count(*) as rows, count(distinct gram) as grams from g")
 def gram_index(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("t"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("t"))
     return harvest.grams(docs, ["doc_id"], "t", THRESHOLDS.harvest_seed_chars).agg(F.count("*").alias("rows"), F.countDistinct("gram").alias("grams"))
 
 
+
+
+@query(
+    f"""with {O.JUDGED}, b as (select url, verdict as after, case when page_id % 6 = 0 then 'unreachable' else verdict end as before, page_id % 4 = 0 as fewer from judged)
+    select count(*) as urls, count(*) filter (before <> after) as moved, count(*) filter (before <> after and fewer) as rungs_changed, count(*) filter (before <> after and not fewer) as same_rungs from b"""
+)
+def movement_summary(spark, sf_dir):
+    """Two result sets: verdicts of every sixth page and rungs of every fourth differ."""
+    after = _judged(spark, sf_dir).select("url", "verdict", "rungs_attempted").join(table(spark, sf_dir, "pages").select("url", "page_id"), "url")
+    verdict = F.when(F.col("page_id") % 6 == 0, F.lit("unreachable")).otherwise(F.col("verdict"))
+    before = after.withColumns({"verdict": verdict, "rungs_attempted": F.when(F.col("page_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("rungs_attempted"))})
+    return analytics.movement_summary(analytics.moved_rows(before, after))
+
+
+@query(
+    f"""with {O.READS} select cast((text <> '')::int as int) as regions, count(*) as reads, count(*) filter ((text <> '')::int > 9) as over_cap, cast(0 as bigint) as signature_differs from reads group by 1"""
+)
+def region_census(spark, sf_dir):
+    """One region at most a read here, so the signature of the regions is that of their join."""
+    return analytics.region_census(signalled_reads(spark, sf_dir))
+
+
+@query(
+    f"""with d as (select doc_id, {O.norm("text")} as t from documents), b as (select item_id, {O.norm("text")} as t from benchmark)
+    select b.t as span, count(*) as pairs from b join d on contains(d.t, b.t) group by b.t"""
+)
+def span_frequency(spark, sf_dir):
+    return analytics.span_frequency(span_mining(spark, sf_dir))

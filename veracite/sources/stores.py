@@ -27,7 +27,7 @@ def write_evidence(rows: DataFrame, path: str) -> None:
     rows.withColumn("version", F.lit(FORMAT_VERSION)).write.mode("overwrite").parquet(path)
 
 
-def _there(spark: SparkSession, path: str) -> DataFrame | None:
+def there(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or None where there is none; an unreadable one raises."""
     try:
         return spark.read.parquet(path)
@@ -39,23 +39,26 @@ def _there(spark: SparkSession, path: str) -> DataFrame | None:
 
 def read_evidence(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The stored results; none where the file is absent."""
-    found = _there(spark, path)
+    found = there(spark, path)
     return spark.createDataFrame([], schema) if found is None else found.where(F.col("version") == FORMAT_VERSION).drop("version")
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
-    """("absent", None), ("ok", entries), or ("unreadable", None) where entries have another format version."""
-    pointer = _there(spark, f"{path}/current")
+    """("absent", None), ("ok", entries), or (why it is unreadable, None)."""
+    pointer = there(spark, f"{path}/current")
     if pointer is None:
         return "absent", None
-    entries = spark.read.parquet(f"{path}/{pointer.first()['folder']}")
-    if "version" not in entries.columns or not entries.where(F.col("version") != FORMAT_VERSION).isEmpty():
-        return "unreadable", None
+    named = pointer.first()
+    entries = there(spark, f"{path}/{named['folder']}") if named else None
+    if entries is None:
+        return f"unreadable: {path} names no index that is there", None
+    if "version" not in entries.columns or not entries.where(~F.col("version").eqNullSafe(FORMAT_VERSION)).isEmpty():
+        return f"unreadable: {path} has another format version", None
     return "ok", entries
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame | None:
-    return _there(spark, f"{path}/blobs")
+    return there(spark, f"{path}/blobs")
 
 
 def write_archive(spark: SparkSession, path: str, staged: DataFrame, blobs: DataFrame) -> None:
@@ -64,8 +67,8 @@ def write_archive(spark: SparkSession, path: str, staged: DataFrame, blobs: Data
     No staged entries change nothing; an unreadable archive is never written over.
     """
     state, old = read_archive(spark, path)
-    if state == "unreadable":
-        raise ValueError(f"{path} holds an archive of another version; it is left as it is")
+    if state.startswith("unreadable"):
+        raise ValueError(f"{state}; it is left as it is")
     if staged.isEmpty():
         return
     known = read_blobs(spark, path)
@@ -88,6 +91,11 @@ def parse_header_dump(dump: Column) -> Column:
 
 
 def measured_anew(todo: DataFrame, path: str, key: str = "url") -> DataFrame:
-    """The rows whose key is not yet in the measurements at ``path``; results are appended there."""
-    done = _there(todo.sparkSession, path)
+    """The rows whose key is not yet in the measurements at ``path``."""
+    done = there(todo.sparkSession, path)
     return todo if done is None else todo.join(done.select(key), key, "left_anti")
+
+
+def measure(todo: DataFrame, path: str, of, key: str = "url") -> None:
+    """Append what ``of`` makes of the rows that have no measurement yet; a run that was stopped goes on where it was."""
+    of(measured_anew(todo, path, key)).write.mode("append").parquet(path)

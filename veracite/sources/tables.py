@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt out to all cores where its files would occupy a few only; large tables stay as they lie."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if 2 * rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
+
+
 def claims_of(body: Column, page_id: Column) -> Column:
     """Ten-word windows of a page's own text, and for every third page a claim that no page holds."""
     words = F.split(body, " ")
@@ -30,7 +36,7 @@ def claims_of(body: Column, page_id: Column) -> Column:
 
 
 def pages_with_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("body", body_text(F.col("html")))
+    pages = texts(spark, sf_dir, "pages").withColumn("body", body_text(F.col("html")))
     return pages.select("page_id", "url", "html", "body", claims_of(F.col("body"), F.col("page_id")).alias("claims"))
 
 

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["bounded_batches", "checkpointed", "fold_of", "map_texts", "sliced", "table", "training_rows"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
@@ -38,26 +26,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; it survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of shuffles, broadcasts and checkpoints that nothing refers to any more.
-
-    Spark's cleaner frees them, here and on the executors, once the driver's collector has
-    seen that they are gone. A driver whose heap is a quarter full is asked to look.
-    """
-    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() - runtime.freeMemory() > runtime.maxMemory() // 4:
-        gc.collect()
-        spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def map_texts(
     df: DataFrame,
     id_col: str,

@@ -13,7 +13,7 @@ shard's passages are indexed by suffix automata of a bounded number of words, ea
 whole anchors, and streamed through their automaton. The matching statistics give the
 state of each window's words, and the window repeats if that state stands for two
 places. (3) The most frequent anchors, at most ``HOT_ANCHORS``, give a broadcast
-shard: their passages in one document each, cut at the anchor's first place. Texts are streamed
+shard: in two documents each the first ``HOT_PASSAGES`` different passages around them. Texts are streamed
 through its automaton near their frequent anchors; a match of ``window`` words or more
 shows a window that stands in the reference document too. Such windows need no
 shuffle, so a passage that a third of all documents share is not gathered anywhere; for
@@ -49,9 +49,10 @@ from .common import bounded_batches, checkpointed, sliced
 
 WINDOW = 35
 ANCHOR = 12
-HOT_ANCHORS = 512
+HOT_ANCHORS = 256
+HOT_PASSAGES = 3
 HOT_COUNT = 1024  # places of an anchor that one automaton holds
-HOT_COPIES = 64
+HOT_COPIES, HOT_TEXTS = 64, 1024
 SHARD_WORDS = 1 << 16
 PART = 1 << 18  # windows handled at once
 POSITION_BITS = np.uint64(20)
@@ -264,7 +265,7 @@ def text_anchors(rows: DataFrame, window: int) -> DataFrame:
 
 
 def reference_passages(rows: DataFrame, hot: DataFrame, window: int) -> list[tuple[bytes, int, list[bytes]]]:
-    """The passage around the first place of each frequent anchor in the one row named with it: fewer than two windows' words each."""
+    """The first different passages around each frequent anchor in the rows named with it: fewer than two windows' words each."""
     wanted = F.broadcast(hot.groupBy("row").agg(F.collect_list("anchor").alias("anchors")))
     schema = pa.schema([("row", pa.binary()), ("place", pa.int64()), ("words", pa.string())])
 
@@ -273,12 +274,13 @@ def reference_passages(rows: DataFrame, hot: DataFrame, window: int) -> list[tup
             out: list[tuple[bytes, int, str]] = []
             for key, text, own in zip(_rows(batch, "row"), _rows(batch, "text"), _lists(batch, "anchors"), strict=True):
                 words = words_of(text)
-                left = set(own.tolist())
+                seen: dict[int, set[bytes]] = {v: set() for v in own.tolist()}
                 for lo, place, value in anchors(word_hashes(words), window):
-                    for first, count, v in stretches(place, value, own):
-                        if v in left:
-                            left.discard(v)
-                            out.append((key, lo + first, b" ".join(words[lo + first : lo + first + count + window - 1]).decode("utf-8", "replace")))
+                    for first, count, v in stretches(place, value, np.array([v for v, known in seen.items() if len(known) < HOT_PASSAGES], np.int64)):
+                        passage = b" ".join(words[lo + first : lo + first + count + window - 1])
+                        if len(seen[v]) < HOT_PASSAGES and passage not in seen[v]:
+                            seen[v].add(passage)
+                            out.append((key, lo + first, passage.decode("utf-8", "replace")))
             yield pa.RecordBatch.from_pydict({n: [o[i] for o in out] for i, n in enumerate(schema.names)}, schema=schema)
 
     found = rows.join(wanted, "row").select("row", "text", "anchors").mapInArrow(run, "row binary, place long, words string").distinct().collect()
@@ -425,7 +427,7 @@ def copied_rows(rows: DataFrame) -> DataFrame:
     """
     texts = rows.select("row", F.unhex(F.md5(F.col("text"))).alias("t")).where("t is not null")
     copies = checkpointed(texts.groupBy("t").agg(F.count("*").alias("c"), F.min("row").alias("rep")).where("c > 1"))
-    most = F.broadcast(copies.where(F.col("c") >= HOT_COPIES).orderBy(F.desc("c"), "t").limit(HOT_ANCHORS).select("t", "rep"))
+    most = F.broadcast(copies.where(F.col("c") >= HOT_COPIES).orderBy(F.desc("c"), "t").limit(HOT_TEXTS).select("t", "rep"))
     often = texts.join(most, "t")
     seldom = texts.join(most.select("t"), "t", "left_anti").join(copies.join(most.select("t"), "t", "left_anti").select("t", "rep"), "t")
     return often.unionByName(seldom).select("row", "rep").distinct()
@@ -446,11 +448,11 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = found.select("row", F.explode("anchors").alias("anchor"))
     counts = checkpointed(single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     frequent = counts.where(F.col("n") > HOT_COUNT).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).select("anchor")
-    hot_rows = single.join(F.broadcast(frequent), "anchor").groupBy("anchor").agg(F.min("row").alias("row")).collect()  # at most HOT_ANCHORS
+    hot_rows = single.join(F.broadcast(frequent), "anchor").groupBy("anchor").agg(F.min("row").alias("row"), F.max("row").alias("other")).collect()  # at most HOT_ANCHORS
     spark = documents.sparkSession
-    bounded = spark.createDataFrame([(r["anchor"], bytes(r["row"])) for r in hot_rows], "anchor long, row binary")
+    bounded = spark.createDataFrame(sorted({(r["anchor"], bytes(r[c])) for r in hot_rows for c in ("row", "other")}), "anchor long, row binary")
     # the most frequent anchors are known by now and need no shuffle, so none of them gathers its rows in one task
-    top = F.broadcast(bounded.select("anchor"))
+    top = F.broadcast(bounded.select("anchor").distinct())
     rest = single.join(top, "anchor", "left_anti").join(counts, "anchor").select("row", "anchor", (F.col("n") > HOT_COUNT).alias("hot"))
     each = rest.unionByName(single.join(top, "anchor", "left_semi").select("row", "anchor", F.lit(True).alias("hot")))
     pick = lambda hot: F.collect_set(F.when(F.col("hot") == hot, F.col("anchor")))

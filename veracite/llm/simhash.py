@@ -402,7 +402,8 @@ def wide_components(met: DataFrame, sets: DataFrame, similarity: float) -> DataF
     few = (F.col("a.c0").bitwiseOR(F.col("b.c0"))).bitwiseAND(F.lit(1)) == 1
     tight, loose = (allowed_bits(similarity, 64 * len(checks), few) for few in (False, True))
     near = differ <= F.when(few, loose).otherwise(tight)
-    others = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & near)
+    once = (F.col("b.root") == F.col("b.first_root")) | (F.col("a.node") < F.col("b.node"))  # of two that both ask, the smaller asks
+    others = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & near)
     more = checkpointed(similar(others.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets, similarity))
     return checkpointed(components(links.unionByName(more))) if more.take(1) else roots
 

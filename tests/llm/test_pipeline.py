@@ -1,10 +1,14 @@
 """The pipeline's stages on a small fixture, each against what it should do with it."""
 
+import collections
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from veracite.llm.queries import tokenizer_path
 
 
 def words(n, seed):
@@ -65,9 +69,67 @@ def test_stages(spark, folder):
     assert set(seen["packing"]) == set(parts)
 
 
-def test_run_chains_the_stages(spark, folder):
+def near(a, b):
+    """Whether two lines of five words or more differ by one inserted, deleted or replaced word."""
+    if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+        return False
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    cut = [long[:i] + long[i + 1 :] for i in range(len(long))]
+    return any(c == short for c in cut) if len(long) > len(short) else any(c == short[:i] + short[i + 1 :] for i, c in enumerate(cut))
+
+
+def plain_run(texts, toxic):
+    """The stages one after another, each by comparing everything with everything."""
+    texts = {d: t for d, t in texts.items() if not toxic(t or "")}
+    earlier, kept = [], {}
+    for d, t in sorted(texts.items()):
+        left = []
+        for line in t.split("\n") if t is not None else []:
+            w = line.split()
+            if not w or not any(w == e or near(w, e) for e in earlier):
+                left.append(line)
+            if w:
+                earlier.append(w)
+        kept[d] = None if t is None else "\n".join(left)
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for d, w in ((d, t.lower().split()) for d, t in kept.items() if t is not None)}
+    root = {d: d for d in shingles}
+    for a in sorted(shingles):
+        for b in sorted(shingles):
+            x, y = shingles[a], shingles[b]
+            if a < b and (x == y or len(x & y) >= 0.8 * len(x | y)):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    kept = {d: t for d, t in kept.items() if t is None or root[d] == d}
+    count = collections.Counter(tuple(w[i : i + 35]) for w in ((t or "").split() for t in kept.values()) for i in range(len(w) - 34))
+    for d, t in kept.items():
+        w = (t or "").split()
+        gone = {k for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
+        if gone:
+            kept[d] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    return kept
+
+
+def test_run_equals_a_plain_run(spark, folder):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = plain_run({d: t for d, t in texts.items() if d in clean}, lambda t: False)
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     got = corpus_pipeline.run(spark, folder)
-    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() >= 230
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces = collections.defaultdict(list)
+    for r in got.collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(pieces) == set(kept)
+    for d, t in kept.items():
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for start, length, crc in sorted(pieces[d]):
+            assert start == at and crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes()), d
+            at += length
+        assert at == len(ids)
 
 
 def test_near_copies_of_repeated_ids(spark):

@@ -67,7 +67,8 @@ def judge(reads: DataFrame) -> DataFrame:
     flagged = attempted(attempted(reads, exhaustive=True).withColumnRenamed("attempted", "exhaustive"))
     fields = F.struct(F.when(F.col("rung") == PDF_RUNG, 1).otherwise(0).alias("late"), *READ_FIELDS, "attempted", "exhaustive")
     by_url = flagged.groupBy("url").agg(F.array_sort(F.collect_list(fields)).alias("_reads"))
-    first = by_url.withColumn("_one", let(F.filter("_reads", lambda r: r["attempted"]), lambda taken: outcome(taken, F.col("url")))).where("_one is not null")
+    climbed = by_url.where(F.exists("_reads", lambda r: r["attempted"]))
+    first = climbed.withColumn("_one", let(F.filter("_reads", lambda r: r["attempted"]), lambda taken: outcome(taken, F.col("url"))))
     first = first.withColumn("rungs_available", F.array_distinct(F.transform("_reads", lambda r: r["rung"])))
     pdf = url.is_pdf(F.col("url"))
     again = (F.col("_one.judged") == "unsupported") & has_untried_rung(F.col("_one.rungs_attempted"), F.col("rungs_available"), pdf)
@@ -91,7 +92,10 @@ def with_evidence(judged: DataFrame, reads: DataFrame) -> DataFrame:
     """Add ``evidence`` for supported and unsupported URLs: passages by locating read, overlapping ones merged."""
     judged = checkpointed(judged)
     shown = judged.where(F.col("verdict").isin("supported", "unsupported")).select("url", "claims", "rungs_attempted")
-    sources = reads.join(shown.select("url", "rungs_attempted"), "url").where("not blocked and array_contains(rungs_attempted, rung)")
+    # a filter on signals would have them computed once more for itself, so they are settled first
+    located = F.when(~F.col("blocked") & (F.size("matched_claims") > 0), F.struct("matched_claims", "regions"))
+    settled = checkpointed(reads.select("url", "rung", "rung_ord", located.alias("located"))).select("url", "rung", "rung_ord", "located.*")
+    sources = settled.join(shown.select("url", "rungs_attempted"), "url").where("array_contains(rungs_attempted, rung)")
     pairs = sources.select("url", "rung", "rung_ord", "regions", F.explode("matched_claims").alias("claim"))
     first = pairs.groupBy("url", "claim").agg(F.min_by(F.struct("rung", "regions"), F.struct(F.when(F.col("rung") == PDF_RUNG, 1).otherwise(0), "rung_ord")).alias("r"))
     by_url = first.groupBy("url").agg(F.collect_list(F.struct("claim", F.col("r.rung").alias("rung"), F.col("r.regions").alias("regions"))).alias("found"))

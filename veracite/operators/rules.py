@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.url import host_of
 
 
@@ -129,12 +130,12 @@ def rule_field(rules: tuple, number: Column, name: str) -> Column:
 
 def signature_rule(norm_regions: Column, rules: RuleSet) -> Column:
     """First signature, in rule order, that any single region matches."""
-    return first_rule(rules.signatures, lambda p: F.exists(norm_regions, lambda r: r.rlike(p)))
+    return let(norm_regions, lambda regions: first_rule(rules.signatures, lambda p: F.exists(regions, lambda r: r.rlike(p))))
 
 
 def flat_signature_rule(norm_regions: Column, rules: RuleSet) -> Column:
     """First signature that the regions match as one text; it may match across two of them."""
-    return first_rule(rules.signatures, lambda p: F.array_join(norm_regions, " ").rlike(p))
+    return let(F.array_join(norm_regions, " "), lambda joined: first_rule(rules.signatures, lambda p: joined.rlike(p)))
 
 
 def path_rule(final_url: Column, rules: RuleSet) -> Column:

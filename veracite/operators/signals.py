@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract, text, url
+from ..functions.bind import let
 from ..thresholds import THRESHOLDS
 from .rules import RuleSet, path_rule, rule_field, signature_rule
 
@@ -52,8 +53,8 @@ def with_signals(reads: DataFrame, rules: RuleSet | None = None, claims_col: str
     claims = F.coalesce(F.col(claims_col), F.array().cast("array<string>"))
     step = reads.withColumns({"landed": landed, "claims": claims, "regions": extract.regions(body, F.col("body_kind"))})
     step = step.withColumns({"text": F.array_join("regions", " "), "norm_regions": F.transform("regions", text.norm), "norm_claims": F.transform("claims", text.norm)})
-    found = lambda c: F.exists("norm_regions", lambda r: F.contains(r, c))
-    hits = F.transform("norm_claims", found)
+    # bound, or a filter on what follows would bring the normalization of all regions into the test of each claim
+    hits = let(F.col("norm_regions"), lambda regions: F.transform("norm_claims", lambda c: F.exists(regions, lambda r: F.contains(r, c))))
     step = step.withColumns({"hits": hits, "prose_chars": text.utf16_length(F.col("text"))})
     pick = lambda keep: F.transform(F.filter(F.arrays_zip("claims", "hits"), lambda p: p["hits"] == keep), lambda p: p["claims"])
     step = step.withColumns(

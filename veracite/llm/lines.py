@@ -83,18 +83,18 @@ HOT_LINES = 1024
 HOT_COUNT = 64
 
 
-def joined_by_line(places: DataFrame, facts: DataFrame, hot: DataFrame, on: tuple[str, ...] = ("h1", "h2")) -> DataFrame:
-    """Places joined with the facts (one row a line) of their lines. The ``hot`` lines are known to every task and gather nowhere."""
+def joined_by_line(places: DataFrame, facts: DataFrame, hot: DataFrame, hot_facts: DataFrame, on: tuple[str, ...] = ("h1", "h2")) -> DataFrame:
+    """Places joined with the facts (one row a line) of their lines. ``hot`` are the most frequent lines and ``hot_facts``
+    the facts of those that have any: every task knows them, so these lines gather nowhere."""
     keys = list(on)
-    known = F.broadcast(hot.select(*keys).distinct())
-    often = places.join(F.broadcast(facts.join(known, keys, "left_semi")), keys)
-    seldom = places.join(known, keys, "left_anti").join(facts.join(known, keys, "left_anti"), keys)
+    often = places.join(F.broadcast(hot_facts), keys)
+    seldom = places.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts, keys)
     return often.unionByName(seldom)
 
 
 def repeated_lines(lines: DataFrame, several: DataFrame, hot: DataFrame) -> DataFrame:
     """(row, line_no) of the lines that stand in a row of a smaller id too, or earlier in their own row."""
-    met = joined_by_line(places_of(lines), several.select("h1", "h2", "least"), hot)
+    met = joined_by_line(places_of(lines), several.select("h1", "h2", "least"), hot, hot.select("h1", "h2", "least"))
     later = met.where("doc > least").select("row", "line_no")
     own = met.where("doc = least").groupBy("row", "h1", "h2").agg(F.array_sort(F.collect_set("line_no")).alias("at")).where("size(at) > 1")
     return later.unionByName(own.select("row", F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("line_no")))
@@ -104,8 +104,8 @@ def candidates(lines: DataFrame, hot: DataFrame) -> DataFrame:
     """(doc, line_no, row) of the first place of each distinct line that shares a half with a different line."""
     halves = lines.select("h1", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    places = joined_by_line(places_of(lines), wanted, hot, ("h1",))
+    wanted = checkpointed(halves.join(shared, "half", "left_semi").select("h1").distinct())
+    places = joined_by_line(places_of(lines), wanted, hot, hot.select("h1").distinct().join(wanted, "h1", "left_semi"), ("h1",))
     return places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "row")).alias("at")).select("at.*")
 
 
@@ -176,8 +176,10 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = checkpointed(lines.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1"))
     hot = checkpointed(several.where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), "h1", "h2").limit(HOT_LINES))
     near = checkpointed(near_lines(documents, checkpointed(candidates(lines, hot)), id_col, text_col, min_words))
-    altered = joined_by_line(places_of(lines), near, hot).select("row", "line_no")
-    return repeated_lines(lines, several, hot).unionByName(altered).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    # one after another: a plan of all parts at once is a burden on the driver
+    repeated = checkpointed(repeated_lines(lines, several, hot))
+    altered = checkpointed(joined_by_line(places_of(lines), near, hot, hot.select("h1", "h2").join(near, ["h1", "h2"], "left_semi")).select("row", "line_no"))
+    return checkpointed(repeated.unionByName(altered).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
 
 
 def line_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

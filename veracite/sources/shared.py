@@ -34,9 +34,9 @@ def release(spark: SparkSession) -> None:
     """Let go of shuffles, broadcasts and checkpoints that nothing refers to any more.
 
     Spark's cleaner frees them, here and on the executors, once the driver's collector has
-    seen that they are gone. A driver whose heap is a quarter full is asked to look.
+    seen that they are gone. A driver whose heap is a sixth full is asked to look.
     """
     runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() - runtime.freeMemory() > runtime.maxMemory() // 4:
+    if runtime.totalMemory() - runtime.freeMemory() > runtime.maxMemory() // 6:
         gc.collect()
         spark.sparkContext._jvm.java.lang.System.gc()

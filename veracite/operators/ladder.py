@@ -17,9 +17,14 @@ HTML_RUNGS = ("node", "curl")
 PDF_RUNG = "pdftotext"
 
 
+def read_ord(reads: DataFrame) -> Column:
+    """The order of several reads of one URL by one rung, where ``reads`` has ``read_ord``."""
+    return F.col("read_ord") if "read_ord" in reads.columns else F.lit(0).cast("long")
+
+
 def attempted(reads: DataFrame, exhaustive: bool = False) -> DataFrame:
     """Add ``attempted``; ``reads`` has signals. ``exhaustive`` climbs past readable rungs."""
-    order = Window.partitionBy("url").orderBy(F.when(F.col("rung") == PDF_RUNG, 1).otherwise(0), "rung_ord").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("url").orderBy(F.when(F.col("rung") == PDF_RUNG, 1).otherwise(0), "rung_ord", read_ord(reads)).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("url")
     pdf_url = url.is_pdf(F.col("url"))
     html = F.col("rung") != PDF_RUNG

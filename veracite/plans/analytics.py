@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm, utf16_length
 from ..functions.url import moved_away, pathname
 from ..operators.harvest import mine_spans
+from ..operators.ladder import read_ord
 from ..operators.rules import RuleSet, flat_signature_rule, signature_rule
 from ..thresholds import MAX_DESCRIPTION_REGIONS, THRESHOLDS
 
@@ -55,7 +56,7 @@ def gain_distribution(frame: DataFrame) -> DataFrame:
 
 def redirect_census(reads: DataFrame) -> DataFrame:
     """Where the judged read of each URL landed: the first readable one, else the last attempted."""
-    order = Window.partitionBy("url").orderBy(F.desc("readable"), F.when(F.col("readable"), F.col("rung_ord")).otherwise(-F.col("rung_ord")))
+    order = Window.partitionBy("url").orderBy(F.desc("readable"), F.when(F.col("readable"), F.col("rung_ord")).otherwise(-F.col("rung_ord")), read_ord(reads))
     judged = reads.where("attempted").withColumn("_k", F.row_number().over(order)).where("_k = 1")
     kind = F.when(pathname(F.col("url")) == pathname(F.col("landed")), "same page").when(moved_away(F.col("url"), F.col("landed")), "moved away").otherwise("redirected")
     return judged.groupBy(kind.alias("kind")).agg(F.count("*").alias("urls"))

@@ -41,18 +41,18 @@ def pages_with_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rungs a page: ``node`` with walls, errors and odd types by number, ``curl`` plain."""
+    """Two rungs a page: ``node`` with walls, errors and odd types by number, ``curl`` plain; pages with one URL in order of their numbers."""
     pages = pages_with_claims(spark, sf_dir)
     kind = F.col("page_id") % 7
     landed = F.when(F.col("page_id") % 11 == 0, F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/"))).otherwise(F.col("url"))
     none = F.create_map().cast("map<string,string>")
     node = pages.select(
-        "page_id", "url", F.lit("node").alias("rung"), F.lit(0).alias("rung_ord"),
+        "page_id", F.col("page_id").alias("read_ord"), "url", F.lit("node").alias("rung"), F.lit(0).alias("rung_ord"),
         F.when(kind == 0, 404).otherwise(200).alias("status"),
         F.when(kind == 1, F.create_map(F.lit("CF-Mitigated"), F.lit("challenge"))).when(kind == 3, F.create_map(F.lit("Content-Type"), F.lit("application/octet-stream"))).otherwise(none).alias("headers"),
         landed.alias("final_url"), F.when(kind == 2, F.lit(SHORT_WALL)).otherwise(F.col("html")).alias("raw_body"), F.lit("html").alias("body_kind"), "claims",
     )
-    curl = pages.select("page_id", "url", F.lit("curl").alias("rung"), F.lit(1).alias("rung_ord"), F.lit(200).alias("status"), none.alias("headers"), F.lit("").alias("final_url"), F.col("html").alias("raw_body"), F.lit("html").alias("body_kind"), "claims")
+    curl = pages.select("page_id", F.col("page_id").alias("read_ord"), "url", F.lit("curl").alias("rung"), F.lit(1).alias("rung_ord"), F.lit(200).alias("status"), none.alias("headers"), F.lit("").alias("final_url"), F.col("html").alias("raw_body"), F.lit("html").alias("body_kind"), "claims")
     return node.unionByName(curl)
 
 

@@ -23,7 +23,7 @@ def check(reads: DataFrame, citations: DataFrame, rules: RuleSet | None = None)
 def recheck(live_reads: DataFrame, citations: DataFrame, entries: DataFrame | None, blobs: DataFrame | None, tool_version: str, rules: RuleSet | None = None, rules_hash: Column | None = None, pdf_version: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(drift rows, live results). Without a readable archive every citation has no baseline. Nothing is written.
 
-    ``entries`` and ``blobs`` as in the archive store; only entries that were supported are replayed.
+    ``citations`` has one row a URL; ``entries`` and ``blobs`` as in the archive store; only entries that were supported are replayed.
     """
     spark = live_reads.sparkSession
     live = checkpointed(check(live_reads, citations, rules))

@@ -4,15 +4,17 @@ A document is a vector of style measurements (rates of byte-class bigrams and a
 few redundancy figures). The model has one weight per measurement; the chance
 that document a is preferred to b is sigmoid(w . (x_a - x_b)). Weights are fitted
 by logistic loss on feature differences of preference pairs (a label-1 document
-against a label-0 document). The decision threshold is a quantile of the scores
-of the training rows: the one that separates the labels best. The score column
-is shifted so that this quantile lies at 0.7.
+against a label-0 document). Every labelled row outside the held-out fold takes
+part: rows are dealt by a hash into buckets of about ``BUCKET_ROWS``, each bucket
+fits weights on pairs of all its rows, and the weights are averaged by rows. A rare
+label stands in several buckets. The decision threshold is the strength that
+separates the labels of all these rows best, of ``BINS`` even steps. The score
+column is shifted so that it lies at 0.7.
 
 Cases: null or empty texts have all-zero bigram rates and get a score like any
 other text; repeated rows get equal scores; an empty table gives an empty
 result; without labels of both kinds every score is 0.5. Extra columns of the
-input are ignored. At most ``per_class`` labelled rows of each kind, of texts of
-at most ``max_chars`` characters, are used for fitting; every row is scored.
+input are ignored. Every row is scored.
 """
 
 from __future__ import annotations
@@ -21,14 +23,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, training_rows
+from .common import checkpointed, labelled_rows, map_texts
 
-PER_CLASS = 3000
-MAX_CHARS = 60_000
-PAIRS_PER_EPOCH = 6000
+BUCKET_ROWS = 6000  # labelled rows fitted at once
+LEAST = 100  # rows of the rarer label in a bucket, some of them in others too
+BINS = 4096
+PAIRS_PER_EPOCH = 6000  # at least; each row of a bucket is in a pair
 EPOCHS = 30
 CLASSES = 16
 
@@ -103,41 +108,117 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7, l2: float = 1e-3) ->
     if len(x) == 0 or y.min() == y.max():
         return None
     mean, scale = x.mean(0), x.std(0) + 1e-3
+    model = BradleyTerry(fit_weights(x, y, mean, scale, seed, l2), mean, scale, 0.0)
+    s = model.strength(x)
+    bins = histogram_bins(s, s.min(), s.max())
+    counts = np.zeros((2, BINS))
+    np.add.at(counts, (y.astype(np.intp), bins), 1)
+    return BradleyTerry(model.weights, mean, scale, best_cut(counts, s.min(), s.max()))
+
+
+def histogram_bins(s: np.ndarray, low: float, high: float) -> np.ndarray:
+    return np.minimum((s - low) * (BINS / max(high - low, 1e-9)), BINS - 1).astype(np.intp)
+
+
+def best_cut(counts: np.ndarray, low: float, high: float) -> float:
+    """The lower end of the bin that parts label 1 (row 1) from label 0 best, the middle of equally good ones."""
+    below = np.cumsum(counts, axis=1) - counts
+    gain = 1 - below[1] / counts[1].sum() + below[0] / counts[0].sum()
+    best = np.flatnonzero(np.isclose(gain, gain.max()))
+    return float(low + best[len(best) // 2] * (high - low) / BINS)
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int = 7, l2: float = 1e-3) -> np.ndarray:
+    """Weights by Adam; in each epoch every row is in a pair, rows of the smaller class in several."""
     z = np.clip((x - mean) / scale, -8, 8)
     better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pairs = max(PAIRS_PER_EPOCH, len(better), len(worse))
     rng = np.random.default_rng(seed)
     w = np.zeros(x.shape[1])
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     for _ in range(EPOCHS):
-        a, b = rng.choice(better, PAIRS_PER_EPOCH), rng.choice(worse, PAIRS_PER_EPOCH)
-        for lo in range(0, PAIRS_PER_EPOCH, 500):
+        a, b = (np.resize(rng.permutation(side), pairs) for side in (better, worse))
+        a = rng.permutation(a)  # or the same pairs would come again and again
+        for lo in range(0, pairs, 500):
             d = z[a[lo : lo + 500]] - z[b[lo : lo + 500]]
             grad = -(d * (1.0 / (1.0 + np.exp(np.clip(d @ w, -50, 50))))[:, None]).mean(0) + l2 * w
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = BradleyTerry(w, mean, scale, 0.0)
-    s = model.strength(x)
-    cuts = np.quantile(s, np.linspace(0.002, 0.998, 499))
-    gain = [np.mean(s[better] >= c) + np.mean(s[worse] < c) for c in cuts]
-    best = np.flatnonzero(np.isclose(gain, max(gain)))
-    return BradleyTerry(w, mean, scale, float(cuts[best[len(best) // 2]]))
+    return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, held_out, label_col: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> BradleyTerry | None:
-    """Fit on a bounded labelled sample; ``held_out`` is a column expression on ``labels``."""
-    rows = training_rows(documents, labels, label_col, held_out, per_class, max_chars)
+def fit(documents: DataFrame, labels: DataFrame, held_out, label_col: str = "quality", bucket_rows: int = BUCKET_ROWS) -> BradleyTerry | None:
+    """Fit on every labelled row outside the held-out fold; ``held_out`` is a column expression on ``labels``."""
+    rows = labelled_rows(documents, labels, label_col, held_out)
 
     def measure(batches: Iterator[tuple[list, list]]) -> Iterator[dict]:
         for ids, texts in batches:
-            yield {"label": ids, "x": [features(t).tolist() for t in texts]}
-
-    got = map_texts(rows, "_label", "_text", measure, "label int, x array<double>").toPandas()
-    if len(got) == 0:
+            yield {"key": ids, "x": [features(t).astype(np.float32).tobytes() for t in texts]}
+
+    # the label rides in the key's last bit
+    keyed = rows.select((F.shiftleft(F.xxhash64("_id", "_text"), 1) + F.col("_label")).alias("_key"), "_text")
+    measured = checkpointed(map_texts(keyed, "_key", "_text", measure, "key long, x binary"))
+    label = F.col("key").bitwiseAND(F.lit(1)).cast("int")
+    counts = {r["label"]: r["n"] for r in measured.groupBy(label.alias("label")).agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         return None
-    x, y = np.array(got["x"].tolist()), got["label"].to_numpy()
-    order = np.lexsort((*x.T[:8], y))  # the fit does not depend on the order of arrival
-    return fit_pairs(x[order], y[order])
+    mean, scale = _moments(measured, sum(counts.values()))
+
+    buckets = -(-sum(counts.values()) // bucket_rows)
+    rare = min(counts, key=lambda k: (counts[k], k))
+    copies = min(buckets, -(-LEAST * buckets // counts[rare])) if counts[rare] < LEAST * buckets else 1
+    places = F.transform(F.sequence(F.lit(0), F.when(label == rare, copies - 1).otherwise(0)), lambda i: F.pmod(F.xxhash64(F.col("key")) + i, F.lit(buckets)).cast("int"))
+    dealt = measured.select(F.explode(places).alias("bucket"), "key", "x")
+
+    def fit_bucket(got):
+        x, y = _matrix(got["x"]), got["key"].to_numpy() & 1
+        order = np.lexsort((*x.T[:8], got["key"]))  # the fit does not depend on the order of arrival
+        both = y.min() != y.max()
+        w = fit_weights(x[order], y[order], mean, scale) if both else np.zeros(x.shape[1])
+        return pd.DataFrame({"bucket": got["bucket"][:1], "n": [len(x) if both else 0], "w": [w.tolist()]})
+
+    fitted = sorted(dealt.groupBy("bucket").applyInPandas(fit_bucket, "bucket int, n long, w array<double>").collect())
+    weights = np.average([r["w"] for r in fitted], axis=0, weights=[r["n"] for r in fitted])
+    model = BradleyTerry(weights, mean, scale, 0.0)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            s = model.strength(_matrix(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array((keys & 1).astype(np.int32)), pa.array(s)], names=["label", "s"])
+
+    found = measured.mapInArrow(strengths, "label int, s double")
+    low, high = found.agg(F.min("s"), F.max("s")).first()
+    place = F.least(((F.col("s") - low) * (BINS / max(high - low, 1e-9))).cast("int"), F.lit(BINS - 1))
+    table = np.zeros((2, BINS))
+    for r in found.groupBy("label", place.alias("bin")).agg(F.count("*").alias("n")).collect():  # two rows a bin at most
+        table[r["label"], r["bin"]] = r["n"]
+    return BradleyTerry(weights, mean, scale, best_cut(table, low, high))
+
+
+def _matrix(rows) -> np.ndarray:
+    return np.array([np.frombuffer(r, np.float32) for r in rows], np.float64).reshape(len(rows), -1)
+
+
+def _moments(measured: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of every measurement over all rows; a task adds up its own."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1).to_pylist())
+                sums = np.stack([x.sum(0), (x * x).sum(0)])
+                total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total[0].tolist()]), pa.array([total[1].tolist()])], names=["a", "b"])
+
+    parts = measured.mapInArrow(add, "a array<double>, b array<double>")
+    one = parts.select(F.posexplode(F.arrays_zip("a", "b")).alias("k", "v")).groupBy("k").agg(F.sum("v.a").alias("a"), F.sum("v.b").alias("b"))
+    got = sorted(one.collect())  # a row for each measurement
+    a, b = (np.round(np.array([r[c] for r in got]) / n, 9) for c in ("a", "b"))
+    return a, np.sqrt(np.maximum(b - a * a, 0)) + 1e-3
 
 
 def score(documents: DataFrame, model: BradleyTerry | None, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:

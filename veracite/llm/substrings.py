@@ -38,6 +38,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -296,6 +297,21 @@ def stretches(place: np.ndarray, value: np.ndarray, wanted: np.ndarray) -> Itera
     yield from zip(heads[good].tolist(), counts[good].tolist(), values[good].tolist(), strict=True)
 
 
+_held: dict[str, Automaton] = {}
+
+
+def held_reference(shared) -> tuple[Automaton, np.ndarray]:
+    """The automaton of the broadcast passages, built once in each worker, and the frequent anchors.
+
+    The driver sends passages alone: an automaton takes some fifty times their memory.
+    """
+    token, found, frequent = shared.value
+    if token not in _held:
+        _held.clear()
+        _held[token] = Automaton(found)
+    return _held[token], frequent
+
+
 def covered(starts: np.ndarray, total: int, window: int) -> np.ndarray:
     """Which of ``total`` words lie under a window that starts at one of ``starts``."""
     depth = np.zeros(total + 1, np.int64)
@@ -380,7 +396,7 @@ def crowded_windows(joined: DataFrame, shared, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference, frequent = shared.value
+        reference, frequent = held_reference(shared)
         told: set[int] = set()
         for batch in _released(batches):
             keys: list[bytes | None] = []
@@ -457,8 +473,8 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = rest.unionByName(single.join(top, "anchor", "left_semi").select("row", "anchor", F.lit(True).alias("hot")))
     pick = lambda hot: F.collect_set(F.when(F.col("hot") == hot, F.col("anchor")))
     repeated = checkpointed(each.groupBy("row").agg(pick(False).alias("anchors"), pick(True).alias("crowded")))
-    reference = Automaton(reference_passages(rows, bounded, window) if hot_rows else [])
-    shared = spark.sparkContext.broadcast((reference, np.array([r["anchor"] for r in hot_rows], np.int64)))
+    found_passages = reference_passages(rows, bounded, window) if hot_rows else []
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, found_passages, np.array([r["anchor"] for r in hot_rows], np.int64)))
 
     text = rows.repartition("row")
     whole_copies = copied.select("row", F.lit(True).alias("copied")).distinct()
@@ -473,7 +489,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"{id_col} {id_type}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", {k} {kinds[k]}" for k in extra)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference, frequent = shared.value
+        reference, frequent = held_reference(shared)
         for batch in _released(batches):
             cols: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "text": []}
             columns = (_rows(batch, "row"), _rows(batch, "text"), _rows(batch, "copied"), _lists(batch, "starts"), _lists(batch, "crowded"))

@@ -34,3 +34,34 @@ def test_a_rare_label_reaches_every_bucket(spark):
     model = quality.fit(docs, labels, F.lit(False), bucket_rows=40)
     got = {r["doc_id"]: r["predicted"] for r in quality.score(docs, model).collect()}
     assert got[5] == 0 and sum(got.values()) == 199
+
+
+def shuffled_bytes(spark):
+    """Bytes that the session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_meet_their_labels_without_a_shuffle_of_texts(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(f"{v:x}" for v in r.integers(0, 2**60, 4000))) for k in range(60)]  # 3.8 MB that hardly compress
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were too many labels to broadcast
+    try:
+        assert quality.fit(docs, labels, F.lit(False)) is not None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < shuffled_bytes(spark) - before < 500_000
+
+
+def test_documents_without_an_id_or_with_a_shared_one_are_fitted_as_the_labels_say(spark):
+    rows = [(1, "plain words stand here"), (1, "more of them"), (2, "!! ## BUY"), (2, None), (3, ""), (None, "no id"), (4, "no label"), (5, "held out")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (5, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.measured_rows(docs, labels, "quality", F.col("doc_id") == 5).collect()
+    want = [("plain words stand here", 1), ("more of them", 1), ("!! ## BUY", 0), ("", 0), ("", 1)]
+    assert sorted((bytes(r["x"]), r["key"] & 1) for r in got) == sorted((quality.features(t).astype(np.float32).tobytes(), y) for t, y in want)
+    assert len({r["key"] for r in got}) == len(want)

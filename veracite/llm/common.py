@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
 
-__all__ = ["bounded_batches", "checkpointed", "fold_of", "map_texts", "sliced", "table", "labelled_rows", "training_rows"]
+__all__ = ["bounded_batches", "checkpointed", "fold_of", "map_texts", "sliced", "table", "labelled_ids", "training_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,15 +73,14 @@ def fold_of(id_col: str, folds: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def labelled_rows(documents: DataFrame, labels: DataFrame, label_col: str, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _label, _text) of every labelled row outside the held-out fold; a document labelled more than once takes its largest label."""
+def labelled_ids(labels: DataFrame, label_col: str, held_out, id_col: str = "doc_id") -> DataFrame:
+    """(_id, _label) of every labelled row outside the held-out fold; a document labelled more than once takes its largest label."""
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out)
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(label_col).cast("int").alias("_label"))
     )
-    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return texts.join(known.where("_label in (0, 1)"), "_id")
+    return known.where("_label in (0, 1)")
 
 
 def training_rows(

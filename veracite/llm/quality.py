@@ -27,8 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import checkpointed, labelled_rows, map_texts
+from .common import bounded_batches, checkpointed, labelled_ids, map_texts, sliced
 
 BUCKET_ROWS = 6000  # labelled rows fitted at once
 LEAST = 100  # rows of the rarer label in a bucket, some of them in others too
@@ -148,17 +149,29 @@ def fit_weights(x: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarra
     return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, held_out, label_col: str = "quality", bucket_rows: int = BUCKET_ROWS) -> BradleyTerry | None:
-    """Fit on every labelled row outside the held-out fold; ``held_out`` is a column expression on ``labels``."""
-    rows = labelled_rows(documents, labels, label_col, held_out)
+def measured_rows(documents: DataFrame, labels: DataFrame, label_col: str, held_out) -> DataFrame:
+    """(key, x) of every labelled row outside the held-out fold; the label rides in the key's last bit.
 
-    def measure(batches: Iterator[tuple[list, list]]) -> Iterator[dict]:
-        for ids, texts in batches:
-            yield {"key": ids, "x": [features(t).astype(np.float32).tobytes() for t in texts]}
+    Texts are measured where they are read, and only the measurements, of one size for any text, are shuffled to
+    the labels. These grow with the documents, so the plan does not wait for them to outgrow a broadcast.
+    """
+    bounded_batches(documents.sparkSession)
+    text = F.col("text").cast("string")
+    texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", text).alias("_hash"), text.alias("_text"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            x = [features(t or "").astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["_id", "_hash", "x"])
 
-    # the label rides in the key's last bit
-    keyed = rows.select((F.shiftleft(F.xxhash64("_id", "_text"), 1) + F.col("_label")).alias("_key"), "_text")
-    measured = checkpointed(map_texts(keyed, "_key", "_text", measure, "key long, x binary"))
+    measured = texts.mapInArrow(measure, StructType([*texts.schema.fields[:2], StructField("x", BinaryType())]))
+    joined = measured.join(labelled_ids(labels, label_col, held_out).hint("merge"), "_id")
+    return joined.select((F.shiftleft("_hash", 1) + F.col("_label")).alias("key"), "x")
+
+
+def fit(documents: DataFrame, labels: DataFrame, held_out, label_col: str = "quality", bucket_rows: int = BUCKET_ROWS) -> BradleyTerry | None:
+    """Fit on every labelled row outside the held-out fold; ``held_out`` is a column expression on ``labels``."""
+    measured = checkpointed(measured_rows(documents, labels, label_col, held_out))
     label = F.col("key").bitwiseAND(F.lit(1)).cast("int")
     counts = {r["label"]: r["n"] for r in measured.groupBy(label.alias("label")).agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:

@@ -36,11 +36,11 @@ def test_a_rare_label_reaches_every_bucket(spark):
     assert got[5] == 0 and sum(got.values()) == 199
 
 
-def shuffled_bytes(spark):
-    """Bytes that the session's stages have written to shuffles so far."""
+def stages(spark):
+    """(id, bytes written to shuffles) of the session's latest stages."""
     sc = spark.sparkContext
-    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
-    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+    got = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return [(got.apply(k).stageId(), got.apply(k).shuffleWriteBytes()) for k in range(got.size())]
 
 
 def test_texts_meet_their_labels_without_a_shuffle_of_texts(spark):
@@ -48,13 +48,13 @@ def test_texts_meet_their_labels_without_a_shuffle_of_texts(spark):
     rows = [(k, " ".join(f"{v:x}" for v in r.integers(0, 2**60, 4000))) for k in range(60)]  # 3.8 MB that hardly compress
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
-    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    last, limit = max((k for k, _ in stages(spark)), default=-1), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were too many labels to broadcast
     try:
         assert quality.fit(docs, labels, F.lit(False)) is not None
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert 0 < shuffled_bytes(spark) - before < 500_000
+    assert 0 < sum(n for k, n in stages(spark) if k > last) < 500_000
 
 
 def test_documents_without_an_id_or_with_a_shared_one_are_fitted_as_the_labels_say(spark):

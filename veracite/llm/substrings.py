@@ -433,7 +433,8 @@ def crowded_windows(joined: DataFrame, shared, window: int) -> DataFrame:
 def row_key(id_col: str, text_col: str):
     text = F.col(text_col).cast("string")
     whole = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.when(text.isNull(), F.lit("/")).otherwise(F.lit(":")), F.coalesce(text, F.lit("")))
-    return F.unhex(F.md5(whole))
+    # not nullable, or an inner join filters its side, which then has a shuffle of the text of its own
+    return F.coalesce(F.unhex(F.md5(whole)), F.lit(b"").cast("binary"))
 
 
 def copied_rows(rows: DataFrame) -> DataFrame:

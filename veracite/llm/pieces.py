@@ -75,6 +75,8 @@ class Model:
             raise ValueError("pieces must not hold a word-start mark after other characters")
         alphabet = sorted({ord(c) for _, _, p in normal for c in p})
         self.alphabet = np.array(alphabet, np.int64)
+        self.number = np.zeros(alphabet[-1] + 2, np.uint16)  # the last entry stands for all that come after
+        self.number[self.alphabet] = np.arange(1, len(alphabet) + 1)
         self.words = -(-self.longest // 4)
         lengths = np.array([len(p) for _, _, p in normal])
         codes = np.zeros((len(normal), self.words * 4), np.uint16)
@@ -93,8 +95,7 @@ class Model:
 
     def dense(self, chars: np.ndarray) -> np.ndarray:
         """Character numbers from 1 in code point order; 0 for what is in no piece."""
-        at = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == chars, at + 1, 0).astype(np.uint16)
+        return self.number[np.minimum(chars, len(self.number) - 1)]
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start * longest + length - 1 of every occurrence of every piece, rising; its rank)."""
@@ -102,16 +103,28 @@ class Model:
         padded = np.concatenate([text, np.zeros(width, np.uint16)])
         windows = np.lib.stride_tricks.sliding_window_view(padded, width)[:n]
         big = np.ascontiguousarray(windows).astype(">u2")
-        columns = big.view(">u8").astype(np.uint64)
-        suffixes = np.lexsort(columns.T[::-1])
+        suffixes = suffix_array(big.view(">u8")[:, 0].astype(np.uint64), width)
         keys = big.view(f"S{width * 2}").ravel()[suffixes]
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         count = hi - lo
         rank = np.repeat(np.arange(len(count)), count)
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        spot = suffixes[inside] * self.longest + self.lengths[rank] - 1
-        order = np.argsort(spot, kind="stable")
-        return spot[order], rank[order]
+        bits = len(self.ids).bit_length()
+        both = (suffixes[inside] * self.longest + self.lengths[rank] - 1 << bits) | rank
+        both.sort()  # plain numbers sort several times faster than an order of them
+        return both >> bits, both & (1 << bits) - 1
+
+
+def suffix_array(heads: np.ndarray, width: int) -> np.ndarray:
+    """Places in the order of the ``width`` characters from each on, by doubling; ``heads`` holds the first four of each."""
+    order, size = np.argsort(heads), 4
+    while size < width:
+        rising = heads[order]
+        rank = np.zeros(len(heads) + size, np.uint64)  # 0: after the end
+        rank[order] = np.cumsum(np.concatenate([[True], rising[1:] != rising[:-1]]))[: len(heads)]
+        heads = rank[: len(heads)] << np.uint64(32) | rank[size:]
+        order, size = np.argsort(heads), size * 2
+    return order
 
 
 def cols_after(lengths: np.ndarray, width: int) -> np.ndarray:
@@ -121,39 +134,54 @@ def cols_after(lengths: np.ndarray, width: int) -> np.ndarray:
 NO_EDGE = np.iinfo(np.int64).max
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a text, each without its first mark, which every unit has: the text gets one in front."""
+    units = text.split(" ")
+    if MARK not in text and all(units):
+        return units
+    return [u[1:] for u in UNITS.findall(MARK + text.replace(" ", MARK))] if text else []
+
+
 class Encoder:
-    """Encodes texts; remembers a bounded number of units."""
+    """Encodes texts; remembers a bounded number of units, in two generations: those seen lately stay."""
 
     def __init__(self, path: str) -> None:
         self.model = model(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        units = [UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {u for text in units for u in text if u not in self.known}
-        if len(self.known) + len(fresh) > CACHE_UNITS:
-            self.known = {}
-            fresh = {u for text in units for u in text}
-        cut = {u: self._independent(u) for u in fresh if len(u) > TILE}
-        fresh = fresh - cut.keys() | {p for parts in cut.values() for p in parts}
+        units = [units_of(t) for t in texts]
+        found = [[*map(self.known.get, text)] for text in units]
+        fresh = dict.fromkeys(u for text, got in zip(units, found, strict=True) for u, b in zip(text, got, strict=True) if b is None)
+        if len(self.known) + len(fresh) > CACHE_UNITS // 2:
+            self.known, self.older = {}, self.known
+        for u in fresh:
+            fresh[u] = self.older.get(u)
+        new = [u for u, b in fresh.items() if b is None]
+        cut = {u: self._independent(MARK + u) for u in new if len(u) >= TILE}
+        short = [u for u in new if u not in cut]
+        parts = [*dict.fromkeys(p for own in cut.values() for p in own)]
+        coded = self._coded([MARK + u for u in short] + parts)
+        fresh.update(zip(short, coded, strict=False))
+        self.known.update((u, b) for u, b in fresh.items() if u not in cut)  # long units are not remembered
+        part = dict(zip(parts, coded[len(short) :], strict=True))
+        fresh.update((u, b"".join(map(part.__getitem__, own))) for u, own in cut.items())
+        return [b"".join([fresh[u] if b is None else b for u, b in zip(text, got, strict=True)]) for text, got in zip(units, found, strict=True)]
+
+    def _coded(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, indexed a chunk at a time."""
+        out: list[bytes] = []
         chunk: list[str] = []
         size = 0
-        for unit in sorted(fresh):
+        for unit in units:
             if chunk and size + len(unit) >= CHUNK:
-                self._learn(chunk)
+                out.extend(self._relaxed(chunk))
                 chunk, size = [], 0
             chunk.append(unit)
             size += len(unit) + 1
-        if chunk:
-            self._learn(chunk)
-        for unit, parts in cut.items():
-            self.known[unit] = b"".join(map(self.known.__getitem__, parts))
-        done = [b"".join(map(self.known.__getitem__, text)) for text in units]
-        for unit in cut:  # long units are not remembered
-            for part in {unit, *cut[unit]}:
-                self.known.pop(part, None)
-        return done
+        return out + self._relaxed(chunk) if chunk else out
 
     def _independent(self, unit: str) -> list[str]:
         """A long unit cut where no occurrence of any piece spans the cut, so that its parts are encoded alone.
@@ -174,7 +202,7 @@ class Encoder:
                 size *= 2
         return [*parts, unit[at:]]
 
-    def _learn(self, units: list[str]) -> None:
+    def _relaxed(self, units: list[str]) -> list[bytes]:
         m = self.model
         chars = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.array([len(u) for u in units])
@@ -201,21 +229,18 @@ class Encoder:
         first = np.flatnonzero(stops[:-1])
         rank = rank_of(first, stops[first])
         ids = np.where(rank == NO_EDGE, -1, m.ids[np.where(rank == NO_EDGE, 0, rank)])
-        owner = np.searchsorted(starts, first, "right") - 1
-        bounds = np.searchsorted(owner, np.arange(len(units) + 1))
-        raw = ids.astype("<u4")
-        strange = set(owner[ids < 0].tolist())
-        for k, unit in enumerate(units):
-            if k in strange:
-                out: list[int] = []
-                for i in range(bounds[k], bounds[k + 1]):
-                    if ids[i] >= 0:
-                        out.append(int(ids[i]))
-                    else:
-                        out.extend(m.byte_ids[b] for b in chr(chars[first[i]]).encode("utf-8", "replace"))
-                self.known[unit] = np.array(out, "<u4").tobytes()
-            else:
-                self.known[unit] = raw[bounds[k] : bounds[k + 1]].tobytes()
+        bounds = np.searchsorted(first, np.append(starts, len(chars))).tolist()
+        raw = ids.astype("<u4").tobytes()
+        coded = [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in set((np.searchsorted(starts, first[ids < 0], "right") - 1).tolist()):
+            out: list[int] = []
+            for i in range(bounds[k], bounds[k + 1]):
+                if ids[i] >= 0:
+                    out.append(int(ids[i]))
+                else:
+                    out.extend(m.byte_ids[b] for b in chr(chars[first[i]]).encode("utf-8", "replace"))
+            coded[k] = np.array(out, "<u4").tobytes()
+        return coded
 
     @staticmethod
     def _rounds(stops: np.ndarray, begin: np.ndarray, end: np.ndarray, rank_of) -> None:

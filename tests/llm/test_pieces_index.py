@@ -14,8 +14,8 @@ PATH = tokenizer_path("piece_bpe_32k.model")
 def test_units_that_keep_coming_are_indexed_once(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_UNITS", 64)
     indexed = []
-    dense = pieces.Model.dense
-    monkeypatch.setattr(pieces.Model, "dense", lambda self, chars: indexed.append("".join(map(chr, chars))) or dense(self, chars))
+    edges = pieces.Model.edges
+    monkeypatch.setattr(pieces.Model, "edges", lambda self, text: indexed.append("".join(chr(self.alphabet[c - 1]) if c else " " for c in text.tolist())) or edges(self, text))
     encoder, sp = pieces.Encoder(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
     for k in range(40):  # 400 units of their own and one of all
         texts = [" ".join([f"w{k}x{j}" for j in range(10)] + ["everywhere"]), "everywhere", ""]
@@ -27,7 +27,7 @@ def test_units_that_keep_coming_are_indexed_once(monkeypatch):
 def test_units_of_odd_texts():
     r = random.Random(4)
     mark = pieces.MARK
-    odd = ["", " ", "  ", mark, " a", "a ", "a  b", f"{mark}a", f"a{mark}b c", "a\nb\tc", f" {mark} ", "é日 \U0001f600x"]
+    odd = ["", " ", "  ", mark, " a", "a ", "a  b", f"{mark}a", f"a{mark}b c", "a\nb\tc", f" {mark} ", "é日 \U0001f600x", "a\0b c"]
     odd += ["".join(r.choice(f"ab  {mark}\n日") for _ in range(r.randrange(1, 12))) for _ in range(500)]
     for t in odd:
         assert [mark + u for u in pieces.units_of(t)] == (pieces.UNITS.findall(mark + t.replace(" ", mark)) if t else [])
@@ -52,3 +52,14 @@ def test_suffixes_are_sorted_and_all_pieces_are_found():
     named = {sp.id_to_piece(int(i)): k for k, i in enumerate(m.ids)}
     want = [(i * m.longest + n - 1, named[text[i : i + n]]) for i in range(len(text)) for n in range(1, m.longest + 1) if i + n <= len(text) and text[i : i + n] in named]
     assert list(zip(spots.tolist(), ranks.tolist(), strict=True)) == want
+
+
+def test_parts_of_units_are_those_that_no_piece_joins():
+    m = pieces.model(PATH)
+    units = ["▁the", "▁sea,\nand", "▁a\0b", "▁日\U0001f600x", "x"]
+    parts, bounds = m.parts(units)
+    assert ["".join(parts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] == units and all(parts)
+    joined = {p[i : i + 2] for p in map(sentencepiece.SentencePieceProcessor(model_file=PATH).id_to_piece, m.ids.tolist()) for i in range(len(p) - 1)}
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        assert not any(left[-1] + right[0] in joined for left, right in zip(parts[a:b], parts[a + 1 : b], strict=False))
+        assert all(p[i : i + 2] in joined for p in parts[a:b] for i in range(len(p) - 1))

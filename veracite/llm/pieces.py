@@ -85,6 +85,8 @@ class Model:
         cols = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         codes[rows, cols] = np.searchsorted(self.alphabet, flat) + 1
         self.lengths = lengths
+        pairs = codes[:, :-1].astype(np.int64) << 16 | codes[:, 1:]
+        self.pairs = np.unique(pairs[codes[:, 1:] > 0])  # neighbours within some piece
         self.low = self._keys(codes)
         codes[cols_after(lengths, codes.shape[1])] = 0xFFFF
         self.high = self._keys(codes)
@@ -114,6 +116,23 @@ class Model:
         both.sort()  # plain numbers sort several times faster than an order of them
         return both >> bits, both & (1 << bits) - 1
 
+    def parts(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """The units cut between characters that are neighbours in no piece, so that the parts are encoded alone; where each unit's parts begin."""
+        joined = "\0".join(units)
+        code = self.dense(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)).astype(np.int64)
+        lengths = np.array([len(u) for u in units], np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        code[ends[:-1]] = 0  # separators stand beside no character of a piece
+        pair = code[:-1] << 16 | code[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        cut = np.flatnonzero(np.concatenate([[True], self.pairs[at] != pair, [True]]))
+        apart = np.zeros(len(code) + 1, bool)
+        apart[ends] = True
+        real = ~apart[cut[:-1]]
+        first, last = cut[:-1][real], cut[1:][real]
+        bounds = np.searchsorted(first, np.append(ends - lengths, len(code)))
+        return [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], bounds.tolist()
+
 
 def suffix_array(heads: np.ndarray, width: int) -> np.ndarray:
     """Places in the order of the ``width`` characters from each on, by doubling; ``heads`` holds the first four of each."""
@@ -143,12 +162,14 @@ def units_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts; remembers a bounded number of units, in two generations: those seen lately stay."""
+    """Encodes texts; remembers a bounded number of units and of their parts, in two generations: those seen lately stay."""
 
     def __init__(self, path: str) -> None:
         self.model = model(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -162,14 +183,28 @@ class Encoder:
         new = [u for u, b in fresh.items() if b is None]
         cut = {u: self._independent(MARK + u) for u in new if len(u) >= TILE}
         short = [u for u in new if u not in cut]
-        parts = [*dict.fromkeys(p for own in cut.values() for p in own)]
-        coded = self._coded([MARK + u for u in short] + parts)
-        fresh.update(zip(short, coded, strict=False))
+        whole = [*dict.fromkeys(p for own in cut.values() for p in own)]
+        flat, bounds = self.model.parts([MARK + u for u in short]) if short else ([], [0])
+        coded = self._parts_coded(flat, whole)
+        for u, lo, hi in zip(short, bounds, bounds[1:], strict=False):
+            fresh[u] = coded[flat[lo]] if hi == lo + 1 else b"".join([coded[p] for p in flat[lo:hi]])
         self.known.update((u, b) for u, b in fresh.items() if u not in cut)  # long units are not remembered
-        part = dict(zip(parts, coded[len(short) :], strict=True))
-        fresh.update((u, b"".join(map(part.__getitem__, own))) for u, own in cut.items())
+        fresh.update((u, b"".join(map(coded.__getitem__, own))) for u, own in cut.items())
         return [b"".join([fresh[u] if b is None else b for u, b in zip(text, got, strict=True)]) for text, got in zip(units, found, strict=True)]
 
+    def _parts_coded(self, parts: list[str], whole: list[str]) -> dict[str, bytes]:
+        """The ids of parts of units, which are remembered, and of parts of long units, which are not."""
+        out = dict.fromkeys(parts)
+        if len(self.known_parts) + len(out) > CACHE_UNITS // 2:
+            self.known_parts, self.older_parts = {}, self.known_parts
+        for p in out:
+            out[p] = self.known_parts.get(p) or self.older_parts.get(p)
+        new = [p for p, b in out.items() if b is None]
+        out.update(zip(new, self._coded(new), strict=True))
+        self.known_parts.update(out)
+        out.update(zip(whole, self._coded(whole), strict=True))
+        return out
+
     def _coded(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, indexed a chunk at a time."""
         out: list[bytes] = []
